@@ -73,8 +73,8 @@ def minute_indicators(df: DataFrame, names=tuple(INDICATORS)) -> DataFrame:
             "bb_mid": F.col("__mid"),
         }
     if "atr" in names:
-        df = ema_many(true_range(df, "__tr", "ts"), {"__atr": ("__tr", 1.0 / 14)}, order="ts")
-        out["atr"] = after("__atr", 14)
+        df = ema_many(true_range(df, "__tr", "ts"), {"__atrv": ("__tr", 1.0 / 14)}, order="ts")
+        out["atr"] = after("__atrv", 14)
     if "adx" in names:
         df = adx(df.drop("adx"), 14, order="ts").withColumnRenamed("adx", "__adx")
         out["adx"] = after("__adx", 28) * 100

@@ -68,6 +68,12 @@ def adjust_close(df: DataFrame, close: str = "close", adjusted: str = "adj_close
     return df.withColumn(close, F.coalesce(F.col(adjusted), F.col(close)))
 
 
+def _folder(name: Column) -> Column:
+    """Folder name as written: paths are URL-escaped, partition folders once more."""
+    once = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.url_decode(F.replace(once, F.lit("+"), F.lit("%2B")))
+
+
 def read_daily_bars(spark: SparkSession, path: str) -> DataFrame:
     """Daily bars from ``<path>/<ticker>/*.csv``, one folder per ticker.
 
@@ -76,7 +82,7 @@ def read_daily_bars(spark: SparkSession, path: str) -> DataFrame:
     raw = (
         spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
         .csv(path, inferSchema=False)
-        .withColumn("ticker", F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1))
+        .withColumn("ticker", _folder(F.regexp_extract("_metadata.file_path", r"(?:ticker=)?([^/=]+)/[^/]+$", 1)))
     )
     df = standardize_columns(
         raw,
