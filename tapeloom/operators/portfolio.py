@@ -273,14 +273,12 @@ def baseline_predictions(preds: DataFrame, kind: str, target: str = "target", se
 
 
 def ensemble(preds: DataFrame, fold_ics: DataFrame, top_folds: int = 3, pred: str = "pred", keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
-    """Predictions of the best folds by validation IC, weighted by it (equally if none is positive).
+    """Predictions of the best folds by validation IC, weighted by it (equally if it does not add up to more than 0).
 
     A ticker some fold is silent on gets the weights of the folds that speak.
     """
     best = fold_ics.orderBy(F.desc("val_ic"), "fold").limit(top_folds)  # a handful of rows
     j = preds.join(F.broadcast(best), "fold")
-    w = F.greatest(F.col("val_ic"), F.lit(0.0))
-    g = j.groupBy(*keys).agg(
-        F.coalesce(div(F.sum(F.col(pred) * w), F.sum(w)), F.avg(pred)).alias("predicted_return"), F.count(F.lit(1)).alias("n_folds")
-    )
-    return g
+    w = F.col("val_ic")
+    weighted = F.when(F.sum(w) > 0, div(F.sum(F.col(pred) * w), F.sum(w))).otherwise(F.avg(pred))
+    return j.groupBy(*keys).agg(weighted.alias("predicted_return"), F.count(F.lit(1)).alias("n_folds"))
