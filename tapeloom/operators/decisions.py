@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.core import EPS, clip, div, series
 from .joins import nth_bar_after
-from .portfolio import top_k
 
 TINY = 1e-6
 # Position scales by regime and confidence, and the thresholds of the rules.
@@ -158,7 +157,7 @@ def position_size(df: DataFrame, max_pct: float = 0.05, regime: str = "regime",
 
 def build_orders(preds: DataFrame, stops: DataFrame, regime: str | Column, confidence: str | Column, top: int = 20, max_pct: float = 0.05,
                  min_agreement: float = 0.5, min_return: float = 0.001, min_price: float = MIN_PRICE) -> DataFrame:
-    """Orders from predictions: screen the strongest, measure agreement, gate, size, and set stops.
+    """Orders from predictions: screen the highest, measure agreement, gate, size, and set stops.
 
     ``preds`` (ticker, predicted_return, preds map), ``stops`` as of
     :func:`tapeloom.operators.daily.atr_stops`.
@@ -166,7 +165,7 @@ def build_orders(preds: DataFrame, stops: DataFrame, regime: str | Column, confi
     label = F.lit(regime) if isinstance(regime, str) else regime
     conf = F.lit(confidence) if isinstance(confidence, str) else confidence
     # the screen sorts once over all tickers; Spark keeps the first rows of each task
-    screened = preds.where(F.col("predicted_return").isNotNull()).orderBy(F.desc(F.abs("predicted_return")), "ticker").limit(top)
+    screened = preds.where(F.col("predicted_return").isNotNull()).orderBy(F.desc("predicted_return"), "ticker").limit(top)
     df = agreement(screened).withColumns({"regime": label, "confidence": conf})
     df = approve(df, min_agreement, min_return).where("approved")
     df = df.join(stops, "ticker").where(F.col("price") >= min_price)

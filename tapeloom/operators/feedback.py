@@ -160,7 +160,7 @@ def journal_attribution(journal: DataFrame, n_models: int, fold: str = "fold") -
     return journal.where("actual_return IS NOT NULL").groupBy(fold).agg(F.avg(credit).alias("attribution"))
 
 
-def attention_bias(metrics: DataFrame, attribution: DataFrame | None = None, strength: float = 1.0, momentum: float = 0.7, limit: float = 2.0,
+def attention_bias(metrics: DataFrame, attribution: DataFrame | None = None, strength: float = 0.5, momentum: float = 0.7, limit: float = 2.0,
                    fold: str = "fold") -> DataFrame:
     """Bias per fold and sub-model: z-scored IC (0.7) and z-scored attribution (0.3), scaled,
     smoothed over the folds and clamped.
