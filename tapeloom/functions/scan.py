@@ -159,3 +159,53 @@ def rolling_sums_long(df: DataFrame, cols: dict[str, str], window: int, key="tic
         out[o] = F.col(f"__h_{o}") + F.when(aligned, 0.0).otherwise(F.coalesce(before, F.lit(0.0)))
     df = df.withColumns(out)
     return df.drop("__t", "__b", *[f"__{p}_{o}" for o in cols for p in "th"])
+
+
+def rolling_shape(df: DataFrame, c: str, window: int, skew: str, kurt: str, key="ticker", order="date") -> DataFrame:
+    """Population skewness and excess kurtosis of full windows, NULL for a constant one.
+
+    From sums of powers, in constant work per row.  Meant for columns around
+    zero such as returns: a large common level would cost digits.
+    """
+    parts = {f"__p{i}": F.pow(col(c), F.lit(float(i))) for i in (1, 2, 3, 4)} | {"__p0": F.when(col(c).isNotNull(), 1.0)}
+    df = df.withColumns(parts)
+    df = rolling_sums_long(df, {f"__w{i}": f"__p{i}" for i in range(5)}, window, key, order)
+    m1, m2, m3, m4 = (F.try_divide(F.col(f"__w{i}"), F.col("__w0")) for i in (1, 2, 3, 4))
+    c2 = m2 - m1 * m1
+    c3 = m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1
+    c4 = m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1
+    df = df.withColumns({"__c2": F.when((F.col("__w0") >= window) & (c2 > 1e-14 * m2), c2), "__c3": c3, "__c4": c4})
+    g1 = F.col("__c3") / F.pow("__c2", F.lit(1.5))
+    g2 = F.col("__c4") / (F.col("__c2") * F.col("__c2")) - 3.0
+    return df.withColumns({skew: g1, kurt: g2}).drop(*parts, *[f"__w{i}" for i in range(5)], "__c2", "__c3", "__c4")
+
+
+def rolling_moments(df: DataFrame, windows: dict[str, list[int]], key="ticker", order="date") -> DataFrame:
+    """Mean, sample deviation and count of the last n rows in constant work per row.
+
+    Adds ``__m_{c}_{n}``, ``__d_{c}_{n}`` and ``__k_{c}_{n}``.  Differences of running
+    sums, taken about the first value of the series; a variance below what those
+    differences can resolve counts as 0.  Everything shares the order of the
+    series, so no further sort is needed.
+    """
+    w = series(key, order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"__o_{c}": F.first(col(c), ignorenulls=True).over(run) for c in windows})
+    sums = {}
+    for c in windows:
+        x = col(c) - F.col(f"__o_{c}")
+        sums |= {f"__s_{c}": F.coalesce(F.sum(x).over(run), F.lit(0.0)), f"__q_{c}": F.coalesce(F.sum(x * x).over(run), F.lit(0.0)), f"__n_{c}": F.count(col(c)).over(run)}
+    df = df.withColumns(sums)
+    pairs = [(c, n) for c, ns in windows.items() for n in ns]
+    past = {f"{p}{c}_{n}": F.lag(f"{p}{c}", n, 0 if p == "__n_" else 0.0).over(w) for c, n in pairs for p in ("__s_", "__q_", "__n_")}
+    df = df.withColumns(past)
+    diff = {}
+    for c, n in pairs:
+        k = (F.col(f"__n_{c}") - F.col(f"__n_{c}_{n}")).cast("double")
+        s, q = F.col(f"__s_{c}") - F.col(f"__s_{c}_{n}"), F.col(f"__q_{c}") - F.col(f"__q_{c}_{n}")
+        mean = F.try_divide(s, k)
+        ss = q - s * mean
+        diff[f"__k_{c}_{n}"] = k
+        diff[f"__m_{c}_{n}"] = mean + F.col(f"__o_{c}")
+        diff[f"__d_{c}_{n}"] = F.when(k > 1, F.when(ss > 1e-14 * F.col(f"__q_{c}"), F.sqrt(F.greatest(ss, F.lit(0.0)) / (k - 1))).otherwise(0.0))
+    return df.withColumns(diff).drop(*past, *sums, *[f"__o_{c}" for c in windows])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean
 from ..functions.core import EPS, MAX_FRAME, TRADING_DAYS, clip, col, div, lag_or_first, pct_change, rolling, rows, series, sma
-from ..functions.scan import ema_many, rolling_sums_long, span_alpha, wilder_many
+from ..functions.scan import ema_many, rolling_moments, span_alpha, wilder_many
 
 ANNUAL = math.sqrt(TRADING_DAYS)
 PRICES = ("open", "high", "low", "close", "volume")
@@ -71,7 +71,13 @@ def sma_features(df: DataFrame, windows=(10, 20, 50, 200), slopes=(20, 50)) -> D
     """Distance from moving averages and their five-row change."""
     w = series()
     need = sorted(set(windows) | set(slopes))
-    df = df.withColumns({f"__sma{n}": sma("close", w, n) for n in need})
+    long = [n for n in need if n > MAX_FRAME]
+    if long:
+        df = rolling_moments(df, {"close": long})
+    run = F.avg("close").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    means = {f"__sma{n}": sma("close", w, n) for n in need if n not in long}
+    means |= {f"__sma{n}": F.when(F.col(f"__k_close_{n}") >= n // 2, F.col(f"__m_close_{n}")).otherwise(run) for n in long}
+    df = df.withColumns(means).drop(*[f"__{p}_close_{n}" for n in long for p in "mdk"])
     out = {f"sma_{n}_dist": div(F.col("close") - F.col(f"__sma{n}"), F.col(f"__sma{n}") + EPS) for n in windows}
     out |= {f"sma_{n}_slope": F.coalesce(pct_change(f"__sma{n}", 5, w), F.lit(0.0)) for n in slopes}
     return df.withColumns(out).drop(*[f"__sma{n}" for n in need])
@@ -339,24 +345,14 @@ def rolling_zscore(df: DataFrame, cols: list[str], window: int = 252, limit: flo
         df = df.withColumns(stats)
         extra: list[str] = []
     else:
-        # centred on the first value, block scans instead of a long frame
-        run = w.rowsBetween(Window.unboundedPreceding, 0)
-        shift = {f"__o_{c}": F.first(c, ignorenulls=True).over(run) for c in cols}
-        df = df.withColumns(shift)
-        parts = {}
-        for c in cols:
-            x = F.col(c) - F.col(f"__o_{c}")
-            parts |= {f"__x_{c}": x, f"__xx_{c}": x * x, f"__n_{c}": F.when(F.col(c).isNotNull(), 1.0)}
-        df = df.withColumns(parts)
-        df = rolling_sums_long(df, {f"__sum{p}": p for p in parts}, window, key, order)
+        df = rolling_moments(df, {c: [window] for c in cols}, key, order)
+        known = {c: F.col(f"__k_{c}_{window}") >= least for c in cols}
         stats = {}
         for c in cols:
-            n, s, q = (F.col(f"__sum__{p}_{c}") for p in ("n", "x", "xx"))
-            var = F.greatest(F.try_divide(q - s * s / F.nullif(n, F.lit(0.0)), n - 1), F.lit(0.0))
-            stats[f"__m_{c}"] = F.when(n >= least, s / n + F.col(f"__o_{c}"))
-            stats[f"__s_{c}"] = F.when(n >= least, F.sqrt(var))
+            stats[f"__m_{c}"] = F.when(known[c], F.col(f"__m_{c}_{window}"))
+            stats[f"__s_{c}"] = F.when(known[c], F.col(f"__d_{c}_{window}"))
         df = df.withColumns(stats)
-        extra = [*shift, *parts, *[f"__sum{p}" for p in parts]]
+        extra = [f"__{p}_{c}_{window}" for c in cols for p in "mdk"]
     out = {}
     for c in cols:
         mean, std = F.col(f"__m_{c}"), F.col(f"__s_{c}")

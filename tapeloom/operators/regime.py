@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import EPS, TRADING_DAYS, clip, col, div, finite, pct_change, rolling, rows, safe_corr, series, zero_fill
+from ..functions.scan import rolling_moments, rolling_shape
 from .joins import asof_join
 
 REGIME_COLUMNS = [
@@ -100,9 +101,11 @@ def regime_extended(bars: DataFrame, vix: DataFrame | None = None, vol_windows=(
 
     df = bars.select(key, "date", "close", "volume").withColumn("__r", pct_change("close", 1, w))
     df = df.withColumn("__rl", F.lag("__r").over(w))
-    out = {f"vol_{n}d": full(F.stddev_samp, "__r", n) * math.sqrt(TRADING_DAYS) for n in vol_windows}
+    df = rolling_shape(df, "__r", 60, "__g1", "__g2", key)
+    df = rolling_moments(df, {"__r": list(vol_windows), "close": list(trend_windows)}, key)
+    out = {f"vol_{n}d": F.when(F.col(f"__k___r_{n}") >= n, F.col(f"__d___r_{n}")) * math.sqrt(TRADING_DAYS) for n in vol_windows}
     for n in trend_windows:
-        mean = full(F.avg, "close", n)
+        mean = F.when(F.col(f"__k_close_{n}") >= n, F.col(f"__m_close_{n}"))
         out[f"trend_{n}d"] = (F.col("close") - mean) / F.greatest(mean, F.when(mean.isNotNull(), F.lit(0.01)))
     out |= {f"momentum_{n}d": pct_change("close", n, w) for n in (20, 60, 120)}
     peak = F.max("close").over(rows(w, drawdown_window))
@@ -116,7 +119,7 @@ def regime_extended(bars: DataFrame, vix: DataFrame | None = None, vol_windows=(
     out["autocorr_20d"] = F.when(F.count(b).over(pairs) == 19, auto)
     n = 60.0
     # the built-in moments are population moments; small-sample corrections follow
-    g1, g2 = full(F.skewness, "__r", 60), full(F.kurtosis, "__r", 60)
+    g1, g2 = F.col("__g1"), F.col("__g2")
     out["skew_60d"] = g1 * (math.sqrt(n * (n - 1)) / (n - 2))
     out["kurt_60d"] = (g2 * (n + 1) + 6.0) * ((n - 1) / ((n - 2) * (n - 3)))
     df = df.withColumns(out)
