@@ -42,27 +42,33 @@ def ema_many(
     key="ticker",
     order="date",
     pos: str | None = None,
+    grid: str | None = None,
     block: int | None = None,
 ) -> DataFrame:
     """Add one EMA column per ``{out: (column, alpha)}``.
 
     The first value of a series seeds it.  Rows where the input is NULL must lie
     before the first value; they yield NULL.  ``pos`` names a column with the
-    row number from 0 counted from the seed row, when the caller has one.
+    row number from 0 counted from the seed row and ``grid`` one with the plain row
+    number, when the caller has them.  Passes that share the grid (and its block
+    column, see :func:`add_grid`) also share one sort.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    orders = [order] if isinstance(order, str) else list(order)
     own_pos = pos is None
     if own_pos:
         pos = "__t"
         df = df.withColumn(pos, position(key, order))
+    grid = grid or pos
     by_block: dict[int, list[str]] = {}
     for out, (_, alpha) in specs.items():
         by_block.setdefault(block or block_size(alpha), []).append(out)
     for size, outs in by_block.items():
-        blk, off = f"__b{size}", F.pmod(F.col(pos), F.lit(size)).cast("double")
-        df = df.withColumn(blk, F.floor(F.col(pos) / size))
-        inside = Window.partitionBy(*keys, blk).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+        blk = f"__b{size}{grid}"
+        own_blk = blk not in df.columns
+        if own_blk:
+            df = df.withColumn(blk, F.floor(F.col(grid) / size))
+        off = F.pmod(F.col(grid), F.lit(size)).cast("double")
+        inside = Window.partitionBy(*keys, blk).orderBy(grid).rowsBetween(Window.unboundedPreceding, 0)
         before = Window.partitionBy(*keys).orderBy(blk).rangeBetween(-1, -1)
         local = {}
         for out in outs:
@@ -72,38 +78,47 @@ def ema_many(
             live = F.when(F.col(pos) >= 0, col(c) * weight * F.exp(off * decay))
             local[f"__l_{out}"] = F.sum(live).over(inside) * F.exp(-off * decay)
         df = df.withColumns(local)
-        carry = {f"__c_{o}": F.max_by(F.col(f"__l_{o}"), F.col(pos)).over(before) for o in outs}
+        carry = {f"__c_{o}": F.max_by(F.col(f"__l_{o}"), F.col(grid)).over(before) for o in outs}
         df = df.withColumns(carry)
         final = {}
         for out in outs:
             decay = -math.log1p(-specs[out][1])
-            # rows before the seed sit in negative blocks and carry nothing
+            # nothing is carried into the first block, nor from a block before the seed
             past = F.coalesce(F.when(F.col(blk) > 0, F.col(f"__c_{out}")), F.lit(0.0))
             final[out] = F.when(F.col(pos) >= 0, F.col(f"__l_{out}") + past * F.exp(-(off + 1.0) * decay))
-        df = df.withColumns(final).drop(blk, *local, *carry)
+        df = df.withColumns(final).drop(*local, *carry, *([blk] if own_blk else []))
     return df.drop(pos) if own_pos else df
 
 
+def add_grid(df: DataFrame, key="ticker", order="date", grid: str = "__t") -> tuple[DataFrame, list[str]]:
+    """Row number and shared block column for several passes of :func:`ema_many`; returns their names too."""
+    blk = f"__b{SHARED_BLOCK}{grid}"
+    df = df.withColumn(grid, position(key, order)).withColumn(blk, F.floor(F.col(grid) / SHARED_BLOCK))
+    return df, [grid, blk]
+
+
 def ema(df: DataFrame, c: str, out: str, span: float | None = None, alpha: float | None = None, key="ticker",
         order="date", block: int | None = None) -> DataFrame:
     """A5: exponential moving average, ``adjust=False``."""
     return ema_many(df, {out: (c, alpha if alpha is not None else span_alpha(span))}, key, order, block=block)
 
 
+def wilder_seed(c: str, period: int, key="ticker", order="date", grid: str = "__t") -> Column:
+    """Input of a Wilder average: NULL before row ``period``, there the mean of rows 1..period, then the value."""
+    mean = F.avg(col(c)).over(series(key, order).rowsBetween(-(period - 1), 0))
+    return F.when(F.col(grid) == period, mean).when(F.col(grid) > period, col(c))
+
+
 def wilder_many(df: DataFrame, specs: dict[str, str], period: int, key="ticker", order="date") -> DataFrame:
     """Wilder smoothing of several columns at once (``{out: column}``).
 
     Row ``period`` holds the plain mean of rows 1..period, later rows decay with
     alpha 1/period, earlier rows are NULL.
     """
-    w = series(key, order)
-    df = df.withColumn("__t", F.row_number().over(w) - 1)
-    seeds = {}
-    for out, c in specs.items():
-        mean = F.avg(col(c)).over(w.rowsBetween(-(period - 1), 0))
-        seeds[f"__s_{out}"] = F.when(F.col("__t") == period, mean).when(F.col("__t") > period, col(c))
+    df = df.withColumn("__t", position(key, order))
+    seeds = {f"__s_{out}": wilder_seed(c, period, key, order) for out, c in specs.items()}
     df = df.withColumns(seeds).withColumn("__p", F.col("__t") - period)
-    df = ema_many(df, {o: (f"__s_{o}", 1.0 / period) for o in specs}, key, order, pos="__p")
+    df = ema_many(df, {o: (f"__s_{o}", 1.0 / period) for o in specs}, key, order, pos="__p", grid="__t")
     return df.drop("__t", "__p", *seeds)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean
 from ..functions.core import EPS, MAX_FRAME, TRADING_DAYS, clip, col, div, lag_or_first, pct_change, rolling, rows, series, sma
-from ..functions.scan import ema_many, rolling_moments, span_alpha, wilder_many
+from ..functions.scan import add_grid, ema_many, rolling_moments, span_alpha, wilder_many, wilder_seed
 
 ANNUAL = math.sqrt(TRADING_DAYS)
 PRICES = ("open", "high", "low", "close", "volume")
@@ -39,8 +39,13 @@ def _std0(c: str, w: Window, n: int) -> Column:
 
 def realized_vol(df: DataFrame, windows=(5, 10, 20, 60)) -> DataFrame:
     """Annualised deviation of daily returns, 0 at the head."""
-    w = series()
-    return _ret1(df).withColumns({f"realized_vol_{n}d": _std0("__r1", w, n) * ANNUAL for n in windows}).drop("__r1")
+    w, long = series(), [n for n in windows if n > MAX_FRAME]
+    df = _ret1(df)
+    if long:
+        df = rolling_moments(df, {"__r1": long})
+    std = {n: F.coalesce(F.col(f"__d___r1_{n}"), F.lit(0.0)) if n in long else _std0("__r1", w, n) for n in windows}
+    df = df.withColumns({f"realized_vol_{n}d": s * ANNUAL for n, s in std.items()})
+    return df.drop("__r1", *[f"__{p}___r1_{n}" for n in long for p in "mdk"])
 
 
 def parkinson_vol(df: DataFrame, windows=(10, 20)) -> DataFrame:
@@ -208,8 +213,8 @@ def vwap_distance(df: DataFrame, offset: float = 1.0) -> DataFrame:
     return df.withColumn("vwap_dist", div(F.col("close") - F.col("__vwap"), F.col("__vwap") + EPS)).drop("__vwap")
 
 
-def candle_features(df: DataFrame) -> DataFrame:
-    """Body, shadows, gap, normalised ATR and relative range."""
+def candle_features(df: DataFrame, with_atr: bool = True) -> DataFrame:
+    """Body, shadows, gap, normalised ATR (unless the table has it) and relative range."""
     w = series()
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
     span = h - l + EPS
@@ -225,8 +230,9 @@ def candle_features(df: DataFrame) -> DataFrame:
         }
     )
     df = df.withColumn("range_ratio", F.col("__range") / (sma("__range", w, 20) + EPS))
-    df = ema_many(true_range(df, "__tr"), {"__atr": ("__tr", span_alpha(14))})
-    df = df.withColumn("atr_norm", F.col("__atr") / (c + EPS))
+    if with_atr:
+        df = ema_many(true_range(df, "__tr"), {"__atr": ("__tr", span_alpha(14))})
+        df = df.withColumn("atr_norm", F.col("__atr") / (c + EPS))
     return df.select(*[k for k in keep if k not in CANDLE], *CANDLE)
 
 
@@ -280,6 +286,48 @@ def raw_plus_features(df: DataFrame) -> DataFrame:
     return clean(calendar_features(df), RAW_PLUS).select(*base, *RAW_PLUS)
 
 
+RECURSIVE = ["adx", "di_diff", "rsi", "macd_norm", "macd_signal_norm", "macd_hist_norm", "atr_norm"]
+
+
+def recursive_features(df: DataFrame, period: int = 14) -> DataFrame:
+    """All recursive indicators of the full set (D8-D11) in three passes over one sort.
+
+    The single operators sort the series once each; here all averages of prices
+    share a pass, then all averages of averages.
+    """
+    w = series()
+    base = df.columns
+    a = span_alpha(period)
+    up = F.greatest(F.col("high") - lag_or_first("high", 1, w), F.lit(0.0))
+    down = F.greatest(lag_or_first("low", 1, w) - F.col("low"), F.lit(0.0))
+    delta = F.col("close") - lag_or_first("close", 1, w)
+    df = true_range(df, "__tr").withColumns({"__up": up, "__dn": down, "__g": F.greatest(delta, F.lit(0.0)), "__d": F.greatest(-delta, F.lit(0.0))})
+    rising = F.col("__up") > F.col("__dn")
+    df, _ = add_grid(df.withColumns({"__dmp": F.when(rising, F.col("__up")).otherwise(0.0), "__dmm": F.when(rising, 0.0).otherwise(F.col("__dn"))}))
+    df = df.withColumns({"__sg": wilder_seed("__g", period), "__sl": wilder_seed("__d", period), "__p": F.col("__t") - period})
+    df = ema_many(df, {
+        "__atr": ("__tr", a), "__ep": ("__dmp", a), "__em": ("__dmm", a), "__f": ("close", span_alpha(12)), "__s": ("close", span_alpha(26)),
+    }, pos="__t")
+    df = ema_many(df, {"__ag": ("__sg", 1.0 / period), "__al": ("__sl", 1.0 / period)}, pos="__p", grid="__t")
+    df = df.withColumns({
+        "__plus": 100 * F.col("__ep") / (F.col("__atr") + EPS), "__minus": 100 * F.col("__em") / (F.col("__atr") + EPS), "__macd": F.col("__f") - F.col("__s"),
+    })
+    df = df.withColumn("__dx", 100 * F.abs(F.col("__plus") - F.col("__minus")) / (F.col("__plus") + F.col("__minus") + EPS))
+    df = ema_many(df, {"__adx": ("__dx", a), "__sig": ("__macd", span_alpha(9))}, pos="__t")
+    close = F.col("close") + EPS
+    rs = F.when(F.col("__al") > 0, F.col("__ag") / F.col("__al")).otherwise(1.0)
+    out = {
+        "adx": F.col("__adx") / 100,
+        "di_diff": (F.col("__plus") - F.col("__minus")) / 100,
+        "rsi": (100.0 - 100.0 / (1.0 + rs)) / 100.0,
+        "macd_norm": F.col("__macd") / close,
+        "macd_signal_norm": F.col("__sig") / close,
+        "macd_hist_norm": (F.col("__macd") - F.col("__sig")) / close,
+        "atr_norm": F.col("__atr") / close,
+    }
+    return df.withColumns(out).select(*base, *RECURSIVE)
+
+
 GROUPS = {
     "returns": ([returns], [*[f"return_{h}d" for h in RETURN_HORIZONS], "log_return_1d"]),
     "volatility": (
@@ -319,9 +367,18 @@ def daily_features(df: DataFrame, groups=tuple(GROUPS), feature_set: str = "full
     if feature_set == "raw_plus":
         return raw_plus_features(df)
     names, base = feature_names(groups), df.columns
+    together = {"trend", "momentum", "microstructure"} <= set(groups)
+    if together:
+        df = recursive_features(df)  # first, while the rows it sorts are narrow
     for g in groups:
         for step in GROUPS[g][0]:
-            df = step(df)
+            if together and step in (adx, rsi, macd):
+                continue
+            if step is vol_ratio and "realized_vol_5d" in df.columns:
+                # both volatilities are in the table already, annualised
+                df = df.withColumn("vol_ratio_5_60", (F.col("realized_vol_5d") / ANNUAL + EPS) / (F.col("realized_vol_60d") / ANNUAL + EPS))
+                continue
+            df = step(df, with_atr=False) if together and step is candle_features else step(df)
     return clean(df, names).select(*base, *names)
 
 
