@@ -85,12 +85,16 @@ def rating_change(grades: DataFrame, key: str = "ticker", date: str = "date", gr
     score = F.try_element_at(F.create_map(*[F.lit(x) for kv in GRADES.items() for x in kv]), F.col(grade))
     g = grades.withColumn("__s", score).where("__s IS NOT NULL")
     ties = [c for c in grades.columns if c not in (key, date)]
-    g = g.withColumns(
-        {
-            "__i": F.row_number().over(Window.partitionBy(key).orderBy(date, *ties)) - 1,
-            "__n": F.count(F.lit(1)).over(Window.partitionBy(key)),
-        }
+    g = g.withColumn("__day", F.to_date(date))
+    # rows before a day are counted per day, so a ticker with very many ratings is ordered day by day
+    days = g.groupBy(key, "__day").agg(F.count(F.lit(1)).alias("__c"))
+    per = Window.partitionBy(key).orderBy("__day")
+    days = days.select(
+        key, "__day", (F.sum("__c").over(per.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__before"),
+        F.sum("__c").over(Window.partitionBy(key)).alias("__n"),
     )
+    at = F.row_number().over(Window.partitionBy(key, "__day").orderBy(date, *ties)) - 1
+    g = g.withColumn("__at", at).join(days, [key, "__day"]).withColumn("__i", F.col("__before") + F.col("__at"))
     old = F.col("__i") < F.floor(F.col("__n") / 2)
     return g.groupBy(key).agg(
         F.when(F.count(F.lit(1)) >= 2, (F.avg(F.when(old, F.col("__s"))) - F.avg(F.when(~old, F.col("__s")))) / 2.0).otherwise(0.0).alias("rating_change")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import add_all, clip, col, rolling, rows, series
+from ..session import materialize
 
 # Lexicon terms.
 BULLISH = ["beat", "strong", "growth", "upgrade", "bull", "outperform", "surge", "record", "buy", "positive", "gain", "profit"]
@@ -131,10 +132,13 @@ def select_articles(bars: DataFrame, articles: DataFrame, min_articles: int = 5,
     by impact stay.
 
     Pairing every bar with every visible article would explode, so articles are
-    reduced to the best ``top_k`` of each hour, day and month first.  All bars of
+    reduced to the best ``top_k`` of each second, hour, day and month first.  All bars of
     a day share the whole days they look back on, all bars of an hour share the
     whole hours; only articles of the partial hours meet single bars.  A best-k
     list of a union is contained in the union of best-k lists, so this is exact.
+
+    The bar times, the article lists and the first selection feed several joins
+    and are written once.
     """
     k = max(top_k, min_articles)
     sec = F.unix_seconds(F.col(published).cast("timestamp"))
@@ -148,17 +152,21 @@ def select_articles(bars: DataFrame, articles: DataFrame, min_articles: int = 5,
         key, ts, bsec.alias("bsec"), F.floor(bsec / DAY).alias("bday"), F.floor(bsec / 3600).alias("bhour"),
         F.date_format(F.col(ts).cast("timestamp"), "yyyyMM").cast("int").alias("bmonth"),
     )
+    bar = materialize(bar)
     ids = ["art_id", "impact", "sec"]
-    by_hour = _top_per(art, [key, "hour"], k)
-    by_day = _top_per(art, [key, "day"], k)
-    by_month = _top_per(art, [key, "month"], k)
+    # articles of one second are seen together, so even a burst leaves k rows per second
+    by_sec = materialize(_top_per(art, [key, "sec"], k))
+    by_hour = _top_per(by_sec, [key, "hour"], k)
+    by_day = _top_per(by_hour, [key, "day"], k)
+    by_month = _top_per(by_day, [key, "month"], k)
 
     bhours = bar.select(key, "bhour", "bday", "bmonth").distinct()
     bdays = bar.select(key, "bday", "bmonth").distinct()
     bmonths = bar.select(key, "bmonth").distinct()
 
     # whole days behind a bar's day
-    reach = bdays.withColumn("day", F.explode(F.sequence(F.col("bday") - (days - 1), F.col("bday") - 1)))
+    whole = F.sequence(F.col("bday") - (days - 1), F.col("bday") - 1) if days > 1 else F.array().cast("array<bigint>")
+    reach = bdays.withColumn("day", F.explode(whole))
     win_day = _top_per(reach.join(by_day.select(key, "day", *ids), [key, "day"]), [key, "bday"], k).select(key, "bday", *ids)
     # whole hours: earlier today, and later on the day the window starts in
     hours = by_hour.select(key, "hour", "day", *ids)
@@ -168,8 +176,8 @@ def select_articles(bars: DataFrame, articles: DataFrame, min_articles: int = 5,
     ).select(key, "bhour", *ids)
     win_hour = _best([today, edge], [key, "bhour"], k)
     # partial hours: single articles against single bars
-    now = bar.select(key, ts, "bsec", F.col("bhour").alias("hour")).join(art.select(key, "hour", *ids), [key, "hour"]).where("sec < bsec")
-    old = bar.select(key, ts, "bsec", (F.col("bhour") - days * 24).alias("hour")).join(art.select(key, "hour", *ids), [key, "hour"]).where(
+    now = bar.select(key, ts, "bsec", F.col("bhour").alias("hour")).join(by_sec.select(key, "hour", *ids), [key, "hour"]).where("sec < bsec")
+    old = bar.select(key, ts, "bsec", (F.col("bhour") - days * 24).alias("hour")).join(by_sec.select(key, "hour", *ids), [key, "hour"]).where(
         F.col("sec") >= F.col("bsec") - days * DAY
     )
     per_bar = bar.select(key, ts, "bday", "bhour")
@@ -183,7 +191,7 @@ def select_articles(bars: DataFrame, articles: DataFrame, min_articles: int = 5,
         [key, ts],
         k,
     )
-    window = window.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key, ts)))
+    window = materialize(window.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key, ts))))
     enough = window.where(F.col("__n") >= min_articles).select(key, ts, *ids)
 
     # bars with too few: everything earlier, month by month, then day, hour, article

@@ -47,7 +47,8 @@ def drawdown(df: DataFrame, equity: str, by: tuple[str, ...] = (), date: str = "
     return df.withColumn("max_drawdown", F.min("drawdown").over(w)).drop("__peak")
 
 
-def performance_summary(df: DataFrame, ret: str = "ret", by: tuple[str, ...] = (), date: str = "date", trades: DataFrame | None = None) -> DataFrame:
+def performance_summary(df: DataFrame, ret: str = "ret", by: tuple[str, ...] = (), date: str = "date", trades: DataFrame | None = None,
+                        extra: list[Column] | None = None) -> DataFrame:
     """Return, volatility, Sharpe, Sortino, drawdown, Calmar, hit rate, win, loss and profit factor.
 
     Hit rate, win, loss and profit factor describe days, or trades where a trade
@@ -68,6 +69,7 @@ def performance_summary(df: DataFrame, ret: str = "ret", by: tuple[str, ...] = (
         F.coalesce(F.avg(F.when(r <= 0, r)), F.lit(0.0)).alias("avg_loss"),
         div(F.sum(F.when(r > 0, r).otherwise(0.0)), F.abs(F.sum(F.when(r <= 0, r).otherwise(0.0)))).alias("profit_factor"),
         F.avg(ret).alias("mean_ret"),
+        *(extra or []),
     )
     ann = growth(F.col("total_return"), F.col("n_days"), 0.01)
     g = g.withColumn("ann_return", ann)
@@ -186,10 +188,10 @@ def turnover(positions: DataFrame, date: str = "date", ticker: str = "ticker") -
     """Share of a day's positions that were not held on the day before; 1 on the first day."""
     w = Window.partitionBy(F.lit(0)).orderBy(date)  # one row per date
     days = positions.select(date).distinct().select(date, F.lag(date).over(w).alias("__prev"))
-    now = positions.select(date, ticker, "side").join(F.broadcast(days), date)
-    old = positions.select(F.col(date).alias("__prev"), ticker, "side", F.lit(1).alias("__held"))
-    j = now.join(old, ["__prev", ticker, "side"], "left")
-    new = F.sum(F.when(F.col("__held").isNull(), 1).otherwise(0))
+    # when the same position was held last: one row per date in each (ticker, side)
+    held = F.lag(date).over(Window.partitionBy(ticker, "side").orderBy(date))
+    j = positions.select(date, ticker, "side", held.alias("__held")).join(F.broadcast(days), date)
+    new = F.sum(F.when(F.col("__held") == F.col("__prev"), 0).otherwise(1))
     return j.groupBy(date).agg((new / F.count(F.lit(1))).alias("turnover"))
 
 
@@ -208,8 +210,7 @@ def long_short_daily(preds: DataFrame, top: int = 20, k_rule: str = "quarter", b
 def long_short(preds: DataFrame, top: int = 20, k_rule: str = "quarter", bps: float = 10.0, **names) -> DataFrame:
     """Performance of the long-short portfolio, with its mean turnover."""
     daily = long_short_daily(preds, top, k_rule, bps, **names)
-    perf = performance_summary(daily, date=names.get("date", "date"))
-    return perf.join(F.broadcast(daily.agg(F.avg("turnover").alias("avg_turnover"))))  # one row each
+    return performance_summary(daily, date=names.get("date", "date"), extra=[F.avg("turnover").alias("avg_turnover")])
 
 
 def long_only_daily(preds: DataFrame, top: int = 20, pred: str = "pred", target: str = "target", date: str = "date", ticker: str = "ticker") -> DataFrame:

@@ -328,8 +328,8 @@ def similarity_edges(vectors: DataFrame, threshold: float = 0.3, batch: str = "b
     size = F.count(F.lit(1)).over(Window.partitionBy(batch))
     place = F.row_number().over(Window.partitionBy(batch).orderBy(ident)) - 1
     unit = unit.withColumns({"__n": size, "__i": place})
-    unit = unit.withColumn("__n", F.when(F.col("__n") <= max_batch, F.col("__n")).otherwise(
-        F.raise_error(F.lit(f"a batch holds more than {max_batch} vectors")).cast("bigint")))
+    too_large = F.raise_error(F.lit(f"a batch holds more than {max_batch} vectors")).cast("boolean")
+    unit = unit.where(F.when(F.col("__n") <= max_batch, True).otherwise(too_large))
     a = unit.select(batch, F.col(ident).alias("src"), F.col("__u").alias("__a"), "__n", "__i")
     b = unit.select(batch, F.col(ident).alias("dst"), F.col("__u").alias("__b"))
     dot = F.aggregate(F.zip_with("__a", "__b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -50,3 +50,14 @@ def work_dir(spark: SparkSession) -> str:
     if base:
         return f"{base.rstrip('/')}/tapeloom-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix="tapeloom-")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table that several branches of a plan read, and read it back.
+
+    The table lies on shared storage (see :func:`work_dir`), so it outlives an
+    executor, and the branches neither repeat nor carry the work behind it.
+    """
+    path = work_dir(df.sparkSession) + "/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
