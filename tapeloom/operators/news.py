@@ -7,7 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import add_all, clip, col, rolling, rows, series
+from ..functions.core import add_all, clip, col, series
+from ..functions.scan import rolling_moments
 from ..session import materialize
 
 # Lexicon terms.
@@ -250,13 +251,12 @@ def news_sequences(bars: DataFrame, daily: DataFrame, cols: list[str], lag_days:
     j = j.withColumn("has_news", add_all([F.abs(F.col(c)) for c in cols]) > 1e-6)
     if not normalize:
         return j
-    w = series(key, date)
+    j = rolling_moments(j, {c: [window] for c in cols}, key, date)
     out = {}
     for c in cols:
-        mean = F.avg(c).over(rows(w, window))
-        std = F.greatest(F.coalesce(rolling(F.stddev_samp, c, w, window, 2), F.lit(1.0)), F.lit(1e-8))
-        out[c] = F.when(F.col("has_news"), clip((F.col(c) - mean) / std, -5, 5)).otherwise(0.0)
-    return j.withColumns(out)
+        std = F.greatest(F.coalesce(F.col(f"__d_{c}_{window}"), F.lit(1.0)), F.lit(1e-8))
+        out[c] = F.when(F.col("has_news"), clip((F.col(c) - F.col(f"__m_{c}_{window}")) / std, -5, 5)).otherwise(0.0)
+    return j.withColumns(out).drop(*[f"__{p}_{c}_{window}" for c in cols for p in "mdk"])
 
 
 def news_coverage(df: DataFrame, min_days: int = 30, min_density: float = 0.05, key: str = "ticker", flag: str = "has_news") -> DataFrame:

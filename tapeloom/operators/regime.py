@@ -298,8 +298,8 @@ def sector_edges(tickers: DataFrame, key: str = "ticker", sector: str = "sector"
     hub.  Unknown and single-ticker sectors have no hub.
     """
     known = tickers.where(F.col(sector).isNotNull() & (F.col(sector) != "Unknown"))
-    sizes = known.groupBy(sector).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 2")  # one row per sector
-    hub = known.join(F.broadcast(sizes), sector).select(
+    sizes = known.groupBy(sector).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 2")
+    hub = known.join(sizes, sector).select(
         F.col(key).alias("src"), F.col(sector).alias("dst"), F.lit("hub").alias("kind"), (F.col("__n") - 1).alias("degree"), F.lit(1.0).alias("weight")
     )
     loops = tickers.select(
@@ -313,7 +313,7 @@ def neighbor_mean(values: DataFrame, edges: DataFrame, value: str, key: str = "t
     hub = edges.where("kind = 'hub'").select(F.col("src").alias(key), "dst")
     j = values.join(hub, key, "left")
     sums = j.where("dst IS NOT NULL").groupBy("dst").agg(F.avg(value).alias("__m"))
-    return j.join(F.broadcast(sums), "dst", "left").withColumn(out, F.coalesce("__m", F.col(value))).drop("dst", "__m")
+    return j.join(sums, "dst", "left").withColumn(out, F.coalesce("__m", F.col(value))).drop("dst", "__m")
 
 
 def similarity_edges(vectors: DataFrame, threshold: float = 0.3, batch: str = "batch", ident: str = "vec_id", embedding: str = "embedding",

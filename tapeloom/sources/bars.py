@@ -207,8 +207,12 @@ def read_snapshot(spark: SparkSession, path: str, date: str | None = None, colum
 
 
 def write_features(df: DataFrame, path: str, by: str = "year", date: str = "date") -> None:
-    """Parquet partitioned by year, overwriting only the years present in ``df``."""
+    """Parquet partitioned by year, overwriting only the years present in ``df``.
+
+    Rebalancing lets Spark size the files at run time: a large year is split over
+    many tasks, small ones share a task.
+    """
     out = df if by in df.columns else df.withColumn(by, F.year(date))
-    out.repartition(by, F.pmod(F.xxhash64("ticker"), F.lit(32))).sortWithinPartitions("ticker", date).write.mode(
+    out.hint("rebalance", F.col(by)).sortWithinPartitions("ticker", date).write.mode(
         "overwrite"
     ).option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
