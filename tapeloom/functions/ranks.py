@@ -17,6 +17,17 @@ from .core import col
 BUCKETS = 64
 
 
+def _bucket(value: str, cuts: str, buckets: int) -> Column:
+    """How many of the sorted cuts lie below the value: first among every ``step``-th, then in one stretch."""
+    step = max(2, int(buckets**0.5))
+    n = buckets - 1
+    v = F.col(value)
+    coarse = F.array(*[F.col(cuts)[i - 1] for i in range(step, n + 1, step)]) if n >= step else F.array().cast("array<double>")
+    c = F.size(F.filter(coarse, lambda x: x < v))
+    stretch = F.slice(F.col(cuts), c * step + 1, F.lit(step - 1))
+    return c * step + F.size(F.filter(stretch, lambda x: x < v))
+
+
 def value_ranks(df: DataFrame, value: str | Column, by: tuple[str, ...] = (), weight: str | None = None,
                 buckets: int = BUCKETS) -> DataFrame:
     """One row per (by, distinct value): ``v, n, lo, total``.
@@ -39,9 +50,7 @@ def value_ranks(df: DataFrame, value: str | Column, by: tuple[str, ...] = (), we
     bounds = vals.groupBy(*keys).agg(F.percentile_approx("v", cuts, 1000).alias("__cuts"))
     if not by:
         bounds = F.broadcast(bounds)  # a single row
-    placed = vals.join(bounds, keys).withColumn(
-        "__k", F.size(F.filter("__cuts", lambda c: c < F.col("v")))
-    ).drop("__cuts")
+    placed = vals.join(bounds, keys).withColumn("__k", _bucket("v", "__cuts", buckets)).drop("__cuts")
     per_bucket = placed.groupBy(*keys, "__k").agg(F.sum("n").alias("__kn"))
     order = Window.partitionBy(*keys).orderBy("__k")  # at most `buckets` rows per group
     per_bucket = per_bucket.select(

@@ -57,7 +57,7 @@ HEALTH = f"""{PREDS}, {LAST}, rc AS (SELECT *, row_number() OVER (PARTITION BY t
 
 
 @query("B20_feature_health", f"""WITH {HEALTH} SELECT ticker, feature, {rounds(['zscore', 'nan_rate', 'bad_rate', 'trend_sign', 'latest_value', 'mean', 'std'], 5)}, suspicious, (al OR st) AND NOT suspicious AS supportive,
-  list_filter([CASE WHEN ex THEN 'extreme_zscore' END, CASE WHEN hb THEN 'high_bad_rate' END, CASE WHEN ag THEN 'trend_contradicts_prediction' END, CASE WHEN al THEN 'trend_supports_prediction' END, CASE WHEN st THEN 'stable_feature' END], lambda x: x IS NOT NULL) AS reasons FROM h4 WHERE feature <> 'close'""")
+  array_to_string(list_filter([CASE WHEN ex THEN 'extreme_zscore' END, CASE WHEN hb THEN 'high_bad_rate' END, CASE WHEN ag THEN 'trend_contradicts_prediction' END, CASE WHEN al THEN 'trend_supports_prediction' END, CASE WHEN st THEN 'stable_feature' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM h4 WHERE feature <> 'close'""")
 def b20(spark, sf):
     p = predictions(spark, sf)
     last = p.groupBy("ticker").agg(F.max_by("pred", "date").alias("predicted_return"))
@@ -65,7 +65,7 @@ def b20(spark, sf):
     odd = F.pmod(F.row_number().over(D.Window.partitionBy("ticker").orderBy(F.desc("date"))), F.lit(2)) == 0
     feats = p.withColumn("__odd", odd).withColumn("rev1", F.when(F.col("__odd"), F.col("rev1")))
     h = X.feature_health(feats, HC, last, z_limit=1.5, bad_limit=0.45).where("feature <> 'close'")
-    return rounded(h, 5)
+    return rounded(h.withColumn("reasons", F.array_join("reasons", "; ")), 5)
 
 
 CONF = "CASE WHEN ic >= 0.05 AND directional_accuracy >= 0.52 THEN 'hot' WHEN ic < 0.02 OR directional_accuracy < 0.50 THEN 'cold' ELSE 'warm' END"
@@ -93,9 +93,9 @@ def gated(spark, sf):
     return X.approve(df, min_return=0.05)
 
 
-@query("B22_approve", f"WITH {APPR} SELECT ticker, date, len(reasons) = 0 AS approved, reasons, risk_level FROM ap")
+@query("B22_approve", f"WITH {APPR} SELECT ticker, date, len(reasons) = 0 AS approved, array_to_string(reasons, '; ') AS reasons, risk_level FROM ap")
 def b22(spark, sf):
-    return gated(spark, sf).select("ticker", "date", "approved", "reasons", "risk_level")
+    return gated(spark, sf).select("ticker", "date", "approved", F.array_join("reasons", "; ").alias("reasons"), "risk_level")
 
 
 SIZE = "round(least({m}::DOUBLE * CASE regime WHEN 'bull_low_vol' THEN 1.0 WHEN 'bull_high_vol' THEN 0.7 WHEN 'sideways' THEN 0.5 WHEN 'bear_low_vol' THEN 0.3 WHEN 'bear_high_vol' THEN 0.2 ELSE 0.5 END::DOUBLE * CASE confidence WHEN 'hot' THEN 1.0 WHEN 'warm' THEN 0.6 WHEN 'cold' THEN 0.2 ELSE 0.5 END::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * overall_agreement), {m}), 4)"

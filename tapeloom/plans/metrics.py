@@ -193,10 +193,11 @@ def a12(spark, sf):
   m AS (SELECT min(CAST(ts AS DATE)) AS minute_first, count(*) AS n_minute FROM (SELECT DISTINCT event_type, date_trunc('hour', ts) AS ts FROM events))
   SELECT n_missing_target, {rounds(['target_mean', 'target_std', 'target_min', 'target_max', 'rows_median', 'zero_ratio'])}, first_date, last_date, n_tickers, rows_min, rows_max, minute_first, n_minute,
     {r6('(last_date - first_date) / 365.25', 'span_years')}, CAST(minute_first - last_date AS INTEGER) AS gap_days,
-    list_filter([CASE WHEN abs(target_mean) > 0.05 THEN 'target mean is large' END, CASE WHEN minute_first > last_date THEN 'gap between daily and minute data' END, CASE WHEN zero_ratio > 0.5 THEN 'many zero features' END], lambda x: x IS NOT NULL) AS issues FROM t, c, m""")
+    array_to_string(list_filter([CASE WHEN abs(target_mean) > 0.05 THEN 'target mean is large' END, CASE WHEN minute_first > last_date THEN 'gap between daily and minute data' END, CASE WHEN zero_ratio > 0.5 THEN 'many zero features' END], lambda x: x IS NOT NULL), '; ') AS issues FROM t, c, m""")
 def a16(spark, sf):
     df = predictions(spark, sf).withColumn("target", F.when(F.abs("raw_target") < 2, F.col("target")))
-    return rounded(M.quality_report(df, ["ret5", "rev1"], T.bars_minute(spark, sf, "hour")))
+    q = M.quality_report(df, ["ret5", "rev1"], T.bars_minute(spark, sf, "hour"))
+    return rounded(q.withColumn("issues", F.array_join("issues", "; ")))
 
 
 @query("A17_average_regime_metrics", f"""WITH {PREDS}, src AS (SELECT *, 'Q' || quarter(date) AS regime, year(date) AS file FROM preds), g AS (SELECT regime, file, {metrics_sql()} FROM src GROUP BY regime, file)

@@ -90,14 +90,14 @@ def m4(spark, sf):
   g AS (SELECT *, ts - {lag('ts', 1, order='ts')} AS gap FROM b),
   a AS (SELECT ticker, count(*) AS n_rows, CAST(sum(CASE WHEN close IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null, CAST(sum(CASE WHEN high < low2 THEN 1 ELSE 0 END) AS BIGINT) AS n_high_below_low,
     CAST(0 AS BIGINT) AS n_backwards, CAST(sum(CASE WHEN gap = INTERVAL 1 MINUTE THEN 0 ELSE 1 END) AS BIGINT) AS n_irregular FROM g GROUP BY ticker)
-  SELECT *, n_null = 0 AND n_high_below_low = 0 AS valid, list_filter([CASE WHEN n_null > 0 THEN n_null || ' null values' END, CASE WHEN n_high_below_low > 0 THEN n_high_below_low || ' bars with high below low' END,
-    CASE WHEN n_irregular > 10 THEN 'irregular spacing in ' || n_irregular || ' bars' END], lambda x: x IS NOT NULL) AS issues FROM a""")
+  SELECT *, n_null = 0 AND n_high_below_low = 0 AS valid, array_to_string(list_filter([CASE WHEN n_null > 0 THEN n_null || ' null values' END, CASE WHEN n_high_below_low > 0 THEN n_high_below_low || ' bars with high below low' END,
+    CASE WHEN n_irregular > 10 THEN 'irregular spacing in ' || n_irregular || ' bars' END], lambda x: x IS NOT NULL), '; ') AS issues FROM a""")
 def m5(spark, sf):
     df = T.bars_minute(spark, sf).withColumns({
         "close": F.when(F.col("close") <= 100, F.col("close")),
         "low": F.when(F.col("volume") > 1, F.col("high") + 1).otherwise(F.col("low")),
     })
-    return M.validate_bars(df)
+    return M.validate_bars(df).withColumn("issues", F.array_join("issues", "; "))
 
 
 @query("M6_daily_bridge", f"""WITH {VECTORS}, d AS (SELECT ticker, date, avg(pos - neg) AS c FROM vectors GROUP BY ticker, date),

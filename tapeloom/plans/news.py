@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.core import rounded
 from ..operators import news as N
 from ..sources import tables as T
-from .registry import query, r6, rounds
+from .registry import query, r6, rounds, scaled, scaled_sql
 from .sql import BARS, NEWS, NUM, VECTORS, lag, win
 
 
@@ -64,17 +64,17 @@ def n6(spark, sf):
 
 POOL = """{name} AS (
   SELECT {keys}, list(m ORDER BY pos) AS embedding FROM (
-    SELECT {keys}, pos, round(avg(x), 5) + 0.0 AS m FROM (
+    SELECT {keys}, pos, avg(x) AS m FROM (
       SELECT {keys}, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM {src}) GROUP BY {keys}, pos) GROUP BY {keys})"""
 STATS = "avg(pos) AS pos_mean, avg(neg) AS neg_mean, avg(neu) AS neu_mean, avg(pos - neg) AS compound_mean, stddev_pop(pos - neg) AS compound_std, count(*) AS n_articles"
 STAT_COLS = ["pos_mean", "neg_mean", "neu_mean", "compound_mean", "compound_std"]
 
 
 def _vec(df, *keys):
-    return rounded(df.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 5) + 0.0)).select(*keys, "embedding", *STAT_COLS, "n_articles"))
+    return rounded(df.select(*keys, scaled("embedding", 5), *STAT_COLS, "n_articles"))
 
 
-@query("N7_pool_vectors", f"WITH {VECTORS}, v AS (SELECT *, date_trunc('month', date)::DATE AS month FROM vectors), {POOL.format(name='p', keys='ticker, month', src='v')}, s AS (SELECT ticker, month, {STATS} FROM v GROUP BY ticker, month) SELECT ticker, month, embedding, {rounds(STAT_COLS)}, n_articles FROM p JOIN s USING (ticker, month)")
+@query("N7_pool_vectors", f"WITH {VECTORS}, v AS (SELECT *, date_trunc('month', date)::DATE AS month FROM vectors), {POOL.format(name='p', keys='ticker, month', src='v')}, s AS (SELECT ticker, month, {STATS} FROM v GROUP BY ticker, month) SELECT ticker, month, {scaled_sql('embedding', 'embedding', 5)}, {rounds(STAT_COLS)}, n_articles FROM p JOIN s USING (ticker, month)")
 def n7(spark, sf):
     v = T.article_vectors(spark, sf).withColumn("month", F.trunc("date", "month"))
     return _vec(N.pool_vectors(v, ["ticker", "month"]), "ticker", "month")
@@ -91,7 +91,7 @@ def n8(spark, sf):
         FROM b JOIN a ON a.ticker = b.ticker AND a.published_at < b.ts),
   d AS (SELECT *, row_number() OVER (PARTITION BY ticker, ts ORDER BY impact DESC, published_at DESC, vec_id) AS r FROM c WHERE n < 5 OR published_at >= ts - INTERVAL 10 DAY),
   e AS (SELECT * FROM d WHERE r <= 15), {POOL.format(name='p', keys='ticker, ts', src='e')}, s AS (SELECT ticker, ts, {STATS} FROM e GROUP BY ticker, ts)
-  SELECT b.ticker, b.ts, embedding, {', '.join(r6(f'coalesce({c}, 0.0)', c) for c in STAT_COLS)}, coalesce(n_articles, 0) AS n_articles FROM b LEFT JOIN p USING (ticker, ts) LEFT JOIN s USING (ticker, ts)""")
+  SELECT b.ticker, b.ts, {scaled_sql('embedding', 'embedding', 5)}, {', '.join(r6(f'coalesce({c}, 0.0)', c) for c in STAT_COLS)}, coalesce(n_articles, 0) AS n_articles FROM b LEFT JOIN p USING (ticker, ts) LEFT JOIN s USING (ticker, ts)""")
 def n9(spark, sf):
     at = F.timestamp_seconds(F.unix_seconds(F.col("date").cast("timestamp")) + 15 * 3600 + F.col("volume").cast("bigint") * 60)
     bars = T.bars_daily(spark, sf).select("ticker", at.alias("ts"))

@@ -11,7 +11,7 @@ from ..operators import regime as R
 from ..sources import tables as T
 from .metrics import PREDS, predictions
 from .news import ND
-from .registry import query, r6, rounds
+from .registry import query, r6, rounds, scaled, scaled_sql
 from .sql import BARS, BRAND, NEWS, SECTORS, lag, pct, run, win
 
 W = "OVER (ORDER BY date)"
@@ -236,7 +236,7 @@ def r14(spark, sf):
     return rounded(R.similarity_edges(v, 0.25))
 
 
-@query("R15_cross_section", f"""WITH {PREDS}, n AS (SELECT date, count(*) AS n_tickers FROM preds GROUP BY date HAVING count(*) >= 25) SELECT date, ticker, [CAST(round(ret5, 4) AS FLOAT), CAST(round(rev1, 4) AS FLOAT)] AS node_features, {r6('target', 'target')}, n_tickers FROM preds JOIN n USING (date)""")
+@query("R15_cross_section", f"""WITH {PREDS}, n AS (SELECT date, count(*) AS n_tickers FROM preds GROUP BY date HAVING count(*) >= 25) SELECT date, ticker, {scaled_sql('[CAST(round(ret5, 4) AS FLOAT), CAST(round(rev1, 4) AS FLOAT)]', 'node_features', 4)}, {r6('target', 'target')}, n_tickers FROM preds JOIN n USING (date)""")
 def r15(spark, sf):
     p = predictions(spark, sf).withColumns({"ret5": F.round("ret5", 4), "rev1": F.round("rev1", 4)})
-    return rounded(R.cross_section(p, ["ret5", "rev1"], min_tickers=25))
+    return rounded(R.cross_section(p, ["ret5", "rev1"], min_tickers=25).select("date", "ticker", scaled("node_features", 4), "target", "n_tickers"))

@@ -8,7 +8,7 @@ from ..functions.core import rounded
 from ..operators import targets as G
 from ..sources import tables as T
 from .daily import ewm_std_sql
-from .registry import query, r6
+from .registry import query, r6, scaled, scaled_sql
 from .sql import BARS, NUM, SECTORS, event_bars
 
 
@@ -80,11 +80,12 @@ def t5(spark, sf):
 
 @query("T6_sequences", f"""WITH {NUM}, f AS (SELECT *, {fwd_sql(1)} AS target, count(*) OVER (PARTITION BY ticker) AS n FROM num),
   s AS (SELECT ticker, date, t AS row, target, n FROM f WHERE t >= 60 AND (t - 60) % 5 = 0 AND t < n - 1 AND target IS NOT NULL)
-  SELECT s.ticker, s.date, s.row, list([CAST(f.close AS FLOAT), CAST(f.volume AS FLOAT)] ORDER BY f.t) AS sequence, {r6('any_value(s.target)', 'target')}
+  SELECT s.ticker, s.date, s.row, {scaled_sql('flatten(list([CAST(f.close AS FLOAT), CAST(f.volume AS FLOAT)] ORDER BY f.t))', 'sequence', 2)}, {r6('any_value(s.target)', 'target')}
   FROM s JOIN f ON f.ticker = s.ticker AND f.t >= s.row - 30 AND f.t < s.row GROUP BY s.ticker, s.date, s.row""")
 def t6(spark, sf):
     df = G.forward_return(T.bars_daily(spark, sf), out="target")
-    return rounded(G.sequences(df, 30, 5, ["close", "volume"], warmup=60))
+    out = G.sequences(df, 30, 5, ["close", "volume"], warmup=60).withColumn("sequence", F.flatten("sequence"))
+    return rounded(out.select("ticker", "date", "row", scaled("sequence", 2), "target"))
 
 
 @query("T7_temporal_split", f"""WITH {NUM}, c AS (SELECT *, count(*) OVER (PARTITION BY ticker) - 1 AS e FROM num),
