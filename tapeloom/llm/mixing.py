@@ -110,12 +110,12 @@ WITH sized AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS weight FROM sized GROUP BY source
 ), ordered AS (
   SELECT *, coalesce(sum(3 * source_size) OVER earlier, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS open,
-    sum(source_size) OVER () AS total
+    sum(source_size) OVER () AS total, row_number() OVER (ORDER BY 3.0 * source_size / weight, source) AS place
   FROM sources WINDOW earlier AS (ORDER BY 3.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), levels AS (
   SELECT *, CAST(total - capped AS DOUBLE) / CAST(open AS DOUBLE) AS level FROM ordered
 ), chosen AS (
-  SELECT min(level) AS level FROM levels WHERE level * weight < 3 * source_size
+  SELECT arg_min(level, place) AS level FROM levels WHERE level * weight <= 3 * source_size
 ), rates AS (
   SELECT source, source_size, CASE WHEN source_size > 0 THEN least(CAST(3 * source_size AS DOUBLE), c.level * s.weight) ELSE 0.0 END AS target
   FROM sources s, chosen c
