@@ -61,12 +61,12 @@ def longest_rule(host: Column, path: Column, rules: list[Rule], value: str = "te
 def grams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path, marked with where they come from."""
 
-    def of(mark: str, s: Column) -> list[Column]:
+    def of(mark: str, s: Column, n: int) -> Column:
         s = F.concat(F.lit("^"), s, F.lit("$"))
-        # an n longer than the text gives the whole text once
-        return [F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), s.substr(i, F.lit(n)))) for n in GRAMS]
+        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1)))  # a shorter text is one gram
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), s.substr(i, F.lit(n))))
 
-    return F.concat(*of("h", host), *of("p", path))
+    return F.concat(*[of(mark, s, n) for mark, s in (("h", host), ("p", path)) for n in GRAMS])
 
 
 @dataclass
