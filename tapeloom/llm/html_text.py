@@ -81,7 +81,7 @@ def parse(source: str) -> Page:
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]  # open elements: name and the block element they are or stand in
     buffer: list[str] = []
-    linked, in_link, skip_to = 0, 0, ""
+    linked, in_link = 0, 0
 
     def flush():
         nonlocal linked
@@ -97,12 +97,9 @@ def parse(source: str) -> Page:
         in_link -= sum(1 for n, _ in stack[at:] if n == "a")
         del stack[at:]
 
-    for m in _TOKEN.finditer(source):
+    tokens = _TOKEN.finditer(source)
+    while (m := next(tokens, None)) is not None:
         name = m[2]
-        if skip_to:
-            if name and m[1] and name.lower() == skip_to:
-                skip_to = ""
-            continue
         if not name:
             token = m[0]
             if token[0] != "<" or token == "<":
@@ -164,7 +161,8 @@ def parse(source: str) -> Page:
         stack.append((name, len(page.nodes) - 1))
         if name in RAW:
             pop_to(len(stack) - 1)
-            skip_to = name
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, m.end())  # its content is no markup
+            tokens = _TOKEN.finditer(source, end.end() if end else len(source))
     flush()
     return page
 
