@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 EPS = 1e-10
 TRADING_DAYS = 252
-MAX_FRAME = 32  # longest sliding frame that is still cheaper than two block scans
 
 
 def col(c: str | Column) -> Column:

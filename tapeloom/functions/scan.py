@@ -198,29 +198,32 @@ def rolling_shape(df: DataFrame, c: str, window: int, skew: str, kurt: str, key=
 def rolling_moments(df: DataFrame, windows: dict[str, list[int]], key="ticker", order="date") -> DataFrame:
     """Mean, sample deviation and count of the last n rows in constant work per row.
 
-    Adds ``__m_{c}_{n}``, ``__d_{c}_{n}`` and ``__k_{c}_{n}``.  Differences of running
-    sums, taken about the first value of the series; a variance below what those
-    differences can resolve counts as 0.  Everything shares the order of the
-    series, so no further sort is needed.
+    Adds ``__m_{c}_{n}``, ``__d_{c}_{n}`` and ``__k_{c}_{n}``.  The series is cut into
+    blocks of n rows, so that a frame is the tail of one block and the head of the
+    next.  Both have their own mean and squared deviations, which are merged about
+    the difference of the means.  Nothing is ever subtracted again, so what stood
+    before a frame, however large, costs it no digits.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     w = series(key, order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"__o_{c}": F.first(col(c), ignorenulls=True).over(run) for c in windows})
-    sums = {}
-    for c in windows:
-        x = col(c) - F.col(f"__o_{c}")
-        sums |= {f"__s_{c}": F.coalesce(F.sum(x).over(run), F.lit(0.0)), f"__q_{c}": F.coalesce(F.sum(x * x).over(run), F.lit(0.0)), f"__n_{c}": F.count(col(c)).over(run)}
-    df = df.withColumns(sums)
-    pairs = [(c, n) for c, ns in windows.items() for n in ns]
-    past = {f"{p}{c}_{n}": F.lag(f"{p}{c}", n, 0 if p == "__n_" else 0.0).over(w) for c, n in pairs for p in ("__s_", "__q_", "__n_")}
-    df = df.withColumns(past)
-    diff = {}
-    for c, n in pairs:
-        k = (F.col(f"__n_{c}") - F.col(f"__n_{c}_{n}")).cast("double")
-        s, q = F.col(f"__s_{c}") - F.col(f"__s_{c}_{n}"), F.col(f"__q_{c}") - F.col(f"__q_{c}_{n}")
-        mean = F.try_divide(s, k)
-        ss = q - s * mean
-        diff[f"__k_{c}_{n}"] = k
-        diff[f"__m_{c}_{n}"] = mean + F.col(f"__o_{c}")
-        diff[f"__d_{c}_{n}"] = F.when(k > 1, F.when(ss > 1e-14 * F.col(f"__q_{c}"), F.sqrt(F.greatest(ss, F.lit(0.0)) / (k - 1))).otherwise(0.0))
-    return df.withColumns(diff).drop(*past, *sums, *[f"__o_{c}" for c in windows])
+    df = df.withColumn("__t", F.row_number().over(w) - 1)
+    for n in sorted({n for ns in windows.values() for n in ns}):
+        cols = [c for c, ns in windows.items() if n in ns]
+        block = Window.partitionBy(*keys, "__b")
+        head = block.orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
+        tail = block.orderBy(F.desc("__t")).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn("__b", F.floor(F.col("__t") / n))
+        # last of the three orders, that of the series: lags and further windows need no new sort
+        for p, frame in (("t", tail), ("h", head)):
+            df = df.withColumns({f"__{p}{q}_{c}": f(col(c)).over(frame) for c in cols for q, f in (("k", F.count), ("m", F.avg), ("v", F.var_pop))})
+        aligned = F.pmod(F.col("__t") + 1, F.lit(n)) == 0  # such a frame is exactly its head
+        df = df.withColumns({f"__l{q}_{c}": F.when(~aligned, F.lag(f"__t{q}_{c}", n - 1).over(w)) for c in cols for q in "kmv"})
+        out = {}
+        for c in cols:
+            k1, k2 = F.col(f"__hk_{c}").cast("double"), F.coalesce(F.col(f"__lk_{c}"), F.lit(0)).cast("double")
+            m1, m2 = F.coalesce(f"__hm_{c}", f"__lm_{c}"), F.coalesce(f"__lm_{c}", f"__hm_{c}")
+            k, step = k1 + k2, m2 - m1
+            squares = F.coalesce(f"__hv_{c}", F.lit(0.0)) * k1 + F.coalesce(f"__lv_{c}", F.lit(0.0)) * k2 + F.coalesce(step * step, F.lit(0.0)) * F.coalesce(F.try_divide(k1 * k2, k), F.lit(0.0))
+            out |= {f"__k_{c}_{n}": k, f"__m_{c}_{n}": m1 + step * F.try_divide(k2, k), f"__d_{c}_{n}": F.when(k > 1, F.sqrt(F.try_divide(squares, k - 1)))}
+        df = df.withColumns(out).drop("__b", *[f"__{p}{q}_{c}" for c in cols for p in "thl" for q in "kmv"])
+    return df.drop("__t")

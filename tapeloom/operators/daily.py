@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean
-from ..functions.core import EPS, MAX_FRAME, TRADING_DAYS, clip, col, div, lag_or_first, pct_change, rolling, rows, series, sma
+from ..functions.core import EPS, TRADING_DAYS, clip, col, div, lag_or_first, pct_change, rolling, rows, series, sma
 from ..functions.scan import add_grid, ema_many, rolling_moments, span_alpha, wilder_many, wilder_seed
 
 ANNUAL = math.sqrt(TRADING_DAYS)
@@ -39,13 +39,8 @@ def _std0(c: str, w: Window, n: int) -> Column:
 
 def realized_vol(df: DataFrame, windows=(5, 10, 20, 60)) -> DataFrame:
     """Annualised deviation of daily returns, 0 at the head."""
-    w, long = series(), [n for n in windows if n > MAX_FRAME]
-    df = _ret1(df)
-    if long:
-        df = rolling_moments(df, {"__r1": long})
-    std = {n: F.coalesce(F.col(f"__d___r1_{n}"), F.lit(0.0)) if n in long else _std0("__r1", w, n) for n in windows}
-    df = df.withColumns({f"realized_vol_{n}d": s * ANNUAL for n, s in std.items()})
-    return df.drop("__r1", *[f"__{p}___r1_{n}" for n in long for p in "mdk"])
+    w = series()
+    return _ret1(df).withColumns({f"realized_vol_{n}d": _std0("__r1", w, n) * ANNUAL for n in windows}).drop("__r1")
 
 
 def parkinson_vol(df: DataFrame, windows=(10, 20)) -> DataFrame:
@@ -76,13 +71,7 @@ def sma_features(df: DataFrame, windows=(10, 20, 50, 200), slopes=(20, 50)) -> D
     """Distance from moving averages and their five-row change."""
     w = series()
     need = sorted(set(windows) | set(slopes))
-    long = [n for n in need if n > MAX_FRAME]
-    if long:
-        df = rolling_moments(df, {"close": long})
-    run = F.avg("close").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    means = {f"__sma{n}": sma("close", w, n) for n in need if n not in long}
-    means |= {f"__sma{n}": F.when(F.col(f"__k_close_{n}") >= n // 2, F.col(f"__m_close_{n}")).otherwise(run) for n in long}
-    df = df.withColumns(means).drop(*[f"__{p}_close_{n}" for n in long for p in "mdk"])
+    df = df.withColumns({f"__sma{n}": sma("close", w, n) for n in need})
     out = {f"sma_{n}_dist": div(F.col("close") - F.col(f"__sma{n}"), F.col(f"__sma{n}") + EPS) for n in windows}
     out |= {f"sma_{n}_slope": F.coalesce(pct_change(f"__sma{n}", 5, w), F.lit(0.0)) for n in slopes}
     return df.withColumns(out).drop(*[f"__sma{n}" for n in need])
@@ -394,22 +383,12 @@ def rolling_zscore(df: DataFrame, cols: list[str], window: int = 252, limit: flo
     keys = [key] if isinstance(key, str) else list(key)
     w, every = series(key, order), Window.partitionBy(*keys)
     least = max(2, window // 2)
-    if window <= MAX_FRAME:
-        stats = {}
-        for c in cols:
-            stats[f"__m_{c}"] = rolling(F.avg, c, w, window, least)
-            stats[f"__s_{c}"] = rolling(F.stddev_samp, c, w, window, least)
-        df = df.withColumns(stats)
-        extra: list[str] = []
-    else:
-        df = rolling_moments(df, {c: [window] for c in cols}, key, order)
-        known = {c: F.col(f"__k_{c}_{window}") >= least for c in cols}
-        stats = {}
-        for c in cols:
-            stats[f"__m_{c}"] = F.when(known[c], F.col(f"__m_{c}_{window}"))
-            stats[f"__s_{c}"] = F.when(known[c], F.col(f"__d_{c}_{window}"))
-        df = df.withColumns(stats)
-        extra = [f"__{p}_{c}_{window}" for c in cols for p in "mdk"]
+    df = rolling_moments(df, {c: [window] for c in cols}, key, order)
+    known = {c: F.col(f"__k_{c}_{window}") >= least for c in cols}
+    stats = {f"__m_{c}": F.when(known[c], F.col(f"__m_{c}_{window}")) for c in cols}
+    stats |= {f"__s_{c}": F.when(known[c], F.col(f"__d_{c}_{window}")) for c in cols}
+    df = df.withColumns(stats)
+    extra = [f"__{p}_{c}_{window}" for c in cols for p in "mdk"]
     out = {}
     for c in cols:
         mean, std = F.col(f"__m_{c}"), F.col(f"__s_{c}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..functions.core import rounded
 from ..operators import daily as D
-from ..session import work_dir
+from ..session import materialize, work_dir
 from ..sources import bars as B
 from ..sources import feeds
 from ..sources import tables as T
@@ -25,13 +25,14 @@ def _bars(df, *cols):
 
 @query("S1_read_daily_bars", f"WITH {BRAND} SELECT ticker, date, {OUT} FROM brand")
 def s1(spark, sf):
-    path = work_dir(spark) + "/daily"
-    out = T.bars_brand(spark, sf).select(
-        "ticker", F.col("date").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"),
-        F.col("low").alias("Low"), F.col("close").alias("Close"), F.lit(None).cast("double").alias("Adj Close"),
-        F.col("volume").alias(" Volume"),
-    )
-    out.repartition("ticker").write.partitionBy("ticker").option("header", True).csv(path)
+    # plain ticker folders; headers in two orders, one of them without adjusted close, newest day first
+    path, bars = work_dir(spark) + "/daily", materialize(T.bars_brand(spark, sf))
+    for i, r in enumerate(bars.select("ticker").distinct().orderBy("ticker").collect()):
+        own = bars.where(F.col("ticker") == r["ticker"]).orderBy(F.desc("date"))
+        named = {"date": "Date", "open": "Open", "high": "High", "low": "Low", "close": "Close", "volume": " Volume"}
+        cols = [F.col(c).alias(n) for c, n in named.items()]
+        cols = [*cols[::-1], F.lit(None).cast("double").alias("Adj Close")] if i % 2 else cols
+        own.select(*cols).coalesce(1).write.option("header", True).csv(f"{path}/{r['ticker']}")
     return _bars(B.read_daily_bars(spark, path))
 
 
@@ -57,8 +58,10 @@ def s3(spark, sf):
 @query("S4_read_minute_bars", f"WITH {event_bars()} SELECT ticker, ts, {OUT} FROM mbars")
 def s4(spark, sf):
     path = work_dir(spark) + "/minute"
-    bars = T.bars_minute(spark, sf).drop("date")
-    bars.unionByName(bars.where("volume > 1")).withColumnRenamed("ts", "timestamp").write.parquet(path)
+    bars = materialize(T.bars_minute(spark, sf).drop("date"))
+    bars = bars.unionByName(bars.where("volume > 1")).withColumnRenamed("ts", "timestamp")
+    for r in bars.select("ticker").distinct().collect():  # a file for each ticker, which does not hold its name
+        bars.where(F.col("ticker") == r["ticker"]).drop("ticker").write.parquet(f"{path}/{r['ticker']}.parquet")
     return _bars(B.read_minute_bars(spark, path), "ticker", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 

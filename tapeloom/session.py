@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,17 +39,19 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder for stream sinks and state.
+    """A fresh folder for tables between steps, stream sinks and state.
 
-    It lives below ``spark.checkpoint.dir`` (shared storage) when the cluster
-    names one; a temporary folder is used only where the setting is absent, as
-    on a single machine.
+    It lies below ``spark.checkpoint.dir``, shared storage that the cluster names.
+    Without the setting a temporary folder serves a local master; on a cluster every
+    executor would write to a disk of its own there, so that is an error.
     """
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/tapeloom-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="tapeloom-")
 
 

@@ -74,29 +74,37 @@ def _folder(name: Column) -> Column:
     return F.url_decode(F.replace(once, F.lit("+"), F.lit("%2B")))
 
 
+_MOST_FIELDS = 64  # of a line of prices
+
+
 def read_daily_bars(spark: SparkSession, path: str) -> DataFrame:
     """Daily bars from ``<path>/<ticker>/*.csv``, one folder per ticker.
 
-    Column order and case are free, dates that do not parse are dropped.
+    Each file has its own header: order, case and presence of its columns are free.
+    Lines are read as text and meet their file's header (the line with a date column
+    and a close column) by the file's path.  A file without such a line is left out,
+    as are dates that do not parse.
     """
-    raw = (
-        spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
-        .csv(path, inferSchema=False)
-        .withColumn("ticker", _folder(F.regexp_extract("_metadata.file_path", r"(?:ticker=)?([^/=]+)/[^/]+$", 1)))
-    )
-    df = standardize_columns(
-        raw,
-        {
-            "date": ["timestamp", "datetime"],
-            "open": [],
-            "high": [],
-            "low": [],
-            "close": [],
-            "adj_close": ["adj close", "adjclose"],
-            "volume": ["vol"],
-        },
-    )
-    numbers = {c: F.expr(f"try_cast(trim({c}) AS double)") for c in ("open", "high", "low", "close", "adj_close", "volume")}
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").text(path)
+    fields = F.from_csv("value", ", ".join(f"c{i} STRING" for i in range(_MOST_FIELDS)))
+    split = lines.select(F.col("_metadata.file_path").alias("_file"), fields.alias("_f")).select("_file", F.array(*[f"_f.c{i}" for i in range(_MOST_FIELDS)]).alias("_v"))
+    names = {
+        "date": ["date", "timestamp", "datetime"], "open": ["open"], "high": ["high"], "low": ["low"], "close": ["close"],
+        "adj_close": ["adj_close", "adj close", "adjclose"], "volume": ["volume", "vol"],
+    }
+    clean = F.transform("_v", lambda x: F.lower(F.trim(F.regexp_replace(x, "\ufeff", ""))))
+    is_header = F.arrays_overlap(clean, F.array(*map(F.lit, names["date"]))) & F.array_contains(clean, "close")
+    split = split.withColumn("_header", F.coalesce(is_header, F.lit(False)))
+    headers = split.where("_header").groupBy("_file").agg(F.min(clean).alias("_names"))  # one row for each file
+    rows = split.where("NOT _header").drop("_header").join(headers, "_file")
+
+    def value(alternatives: list[str]) -> Column:
+        found = [F.nullif(F.trim(F.get("_v", (F.array_position("_names", F.lit(a)) - 1).cast("int"))), F.lit("")) for a in alternatives]
+        return F.coalesce(*found)
+
+    ticker = _folder(F.regexp_extract("_file", r"(?:ticker=)?([^/=]+)/[^/]+$", 1))
+    df = rows.select(ticker.alias("ticker"), *[value(a).alias(n) for n, a in names.items()])
+    numbers = {c: F.expr(f"try_cast({c} AS double)") for c in ("open", "high", "low", "close", "adj_close", "volume")}
     return (
         df.withColumns(numbers)
         .withColumn("date", parse_ts("date").cast("date"))
@@ -107,8 +115,17 @@ def read_daily_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_minute_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Minute bars from Parquet, UTC, one row per (ticker, ts)."""
-    return unique_bars(standardize_columns(spark.read.parquet(path), {"ts": ["timestamp", "date", "datetime"]}))
+    """Minute bars from Parquet, UTC, one row per (ticker, ts).
+
+    One table with a ticker column, or a file (or folder of files) for each ticker
+    without one: ``<ticker>.parquet`` or ``ticker=<ticker>/``.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(path)
+    if "ticker" not in [c.strip().lower() for c in raw.columns]:
+        file = F.col("_metadata.file_path")
+        found = [F.nullif(F.regexp_extract(file, p, 1), F.lit("")) for p in (r"/ticker=([^/]+)/", r"/([^/]+)\.parquet/[^/]+$", r"/([^/]+)\.parquet$")]
+        raw = raw.withColumn("ticker", _folder(F.coalesce(*found)))
+    return unique_bars(standardize_columns(raw, {"ticker": [], "ts": ["timestamp", "date", "datetime"]}))
 
 
 def unique_bars(df: DataFrame, key: str = "ticker", ts: str = "ts") -> DataFrame:

@@ -71,6 +71,23 @@ def test_rolling_moments_and_shape(walk):
     np.testing.assert_allclose(got_k, kurt, atol=1e-8)
 
 
+@pytest.mark.parametrize("window", [20, 33, 252, 7800])
+def test_rolling_moments_keep_their_digits(spark, window):
+    """Values that fall by many orders leave nothing behind in later frames."""
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.uniform(100, 1000, 15000), 1e9 * rng.uniform(1, 2, 500), 50 + 1e-4 * rng.choice([-1.0, 1.0], 9000)])
+    df = spark.createDataFrame(pd.DataFrame({"ticker": "A", "date": np.arange(len(x)), "x": x}))
+    got = scan.rolling_moments(df, {"x": [window]}).orderBy("date").toPandas()
+    for t in [*range(0, len(x), 997), *range(len(x) - 40, len(x))]:
+        frame = x[max(0, t - window + 1) : t + 1]
+        assert got[f"__k_x_{window}"][t] == len(frame)
+        assert got[f"__m_x_{window}"][t] == pytest.approx(frame.mean(), rel=1e-12)
+        if len(frame) > 1:
+            assert got[f"__d_x_{window}"][t] == pytest.approx(np.std(frame, ddof=1), rel=1e-6)
+
+
 def test_rolling_sums_long(walk):
     pdf, df = walk
     got = by_ticker(scan.rolling_sums_long(df, {"s": "volume"}, 37), "s")["s"].to_numpy()
