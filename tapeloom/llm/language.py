@@ -180,9 +180,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     2 * 2^15 + 15 numbers for each language.
     """
     small_batches(docs.sparkSession)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    known = docs.where(F.col("lang").isNotNull() & teaches(F.col("doc_id"))).select("doc_id", "lang")
-    chosen = known.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    chosen = docs.where(F.col("lang").isNotNull() & teaches(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    for keys in (["_lang", F.pmod(F.hash("_id"), F.lit(16))], ["_lang"]):  # in parts first, so that a hot language is no large group
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("_id"), "_id"))
+        chosen = chosen.withColumn("_rank", rank).where(F.col("_rank") <= per_language).drop("_rank")
     rows = docs.join(F.broadcast(chosen), (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang"))).select(docs["text"], docs["lang"].alias("_lang"))
 
     def count(parts):
