@@ -125,12 +125,51 @@ def check_formula(name: str, formula: str, columns: list[str]) -> None:
         at = m.end()
 
 
+def formula_value(df: DataFrame, formula: str) -> Column:
+    """The checked formula over doubles, with a NULL where a divisor is 0."""
+    numeric = {f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "decimal")}
+    words, at = [], 0
+    while at < len(formula.rstrip()):
+        m = FORMULA_TOKEN.match(formula, at)
+        words.append(m.group(0).strip())
+        at = m.end()
+
+    def operand(i: int) -> int:
+        """Where the operand that begins at word i ends."""
+        while i < len(words) and words[i] in "+-":
+            i += 1
+        if i < len(words) and words[i] not in "()":
+            i += 1
+        if i < len(words) and words[i] == "(":
+            depth = 0
+            while i < len(words):
+                depth += (words[i] == "(") - (words[i] == ")")
+                i += 1
+                if not depth:
+                    break
+        return i
+
+    def written(i: int, end: int) -> str:
+        out = []
+        while i < end:
+            if words[i] in ("/", "%"):
+                stop = operand(i + 1)
+                out.append(f"{words[i]} nullif({written(i + 1, stop)}, 0)")
+                i = stop
+            else:
+                out.append(f"double({words[i]})" if words[i] in numeric else words[i])
+                i += 1
+        return " ".join(out)
+
+    return F.expr(written(0, len(words)))
+
+
 def formula_quality(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
     """One row per formula: share of non-finite values, spread, and whether it is accepted."""
     aggs = []
     for name, f in formulas.items():
         check_formula(name, f, df.columns)
-        v = finite(F.expr(f))
+        v = finite(formula_value(df, f))
         aggs.append(
             F.struct(
                 F.lit(name).alias("name"),
@@ -145,14 +184,13 @@ def formula_quality(df: DataFrame, formulas: dict[str, str]) -> DataFrame:
 def formula_feature(df: DataFrame, name: str, formula: str) -> DataFrame:
     """Add a formula column; NULL throughout when the quality gate rejects it."""
     gate = formula_quality(df, {name: formula}).select(F.col("accepted").alias("__ok"))
-    value = F.coalesce(finite(F.expr(formula)), F.lit(0.0))
+    value = F.coalesce(finite(formula_value(df, formula)), F.lit(0.0))
     # the gate is one row
     return df.join(F.broadcast(gate)).withColumn(name, F.when(F.col("__ok"), value)).drop("__ok")
 
 
 def latest_features(df: DataFrame, cols: list[str], key: str = "ticker", date: str = "date") -> DataFrame:
     """The features of the last date of each ticker as a map."""
-    pairs = F.create_map(*[x for c in cols for x in (F.lit(c), F.col(c))])
     return df.groupBy(key).agg(F.max(date).alias(date), F.max_by(F.struct(*cols), date).alias("__row")).select(
         key, date, F.create_map(*[x for c in cols for x in (F.lit(c), F.col(f"__row.{c}"))]).alias("features")
     )
@@ -170,7 +208,3 @@ def diversified_sample(df: DataFrame, n: int, sectors: list[str], key: str = "ti
         .limit(n)
         .drop("__r", "__s")
     )
-
-
-def fill_ratio(a: str | Column, b: str | Column) -> Column:
-    return F.coalesce(div(a, b), F.lit(0.0))

@@ -25,14 +25,17 @@ def hold_out(df: DataFrame, frac: float = 0.8, date: str = "date") -> DataFrame:
     cum = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("__n").over(Window.partitionBy(F.lit(0)))
     cut = per.select(date, (cum <= F.floor(total * frac)).alias("train"))
-    return df.join(F.broadcast(cut), date)
+    return df.join(cut, date)
+
+
+MIN_RIDGE_ROWS = 50  # with fewer rows, or none in a part, the IC is 0
 
 
 def ridge_ic(df: DataFrame, features: list[str], target: str = "target", ridge: float = 1e-3, date: str = "date") -> DataFrame:
     """IC, on the later fifth of the dates, of a ridge regression fitted on the earlier ones.
 
     Features are scaled by the training part; there is no intercept.  One row:
-    ic, n_train, n_valid.
+    ic, n_train, n_valid; the IC is 0 with fewer than 50 rows or an empty part.
     """
     known = df.select(date, *[finite(c).alias(c) for c in features], finite(target).alias("__y")).dropna()
     known = hold_out(known, date=date)
@@ -43,6 +46,8 @@ def ridge_ic(df: DataFrame, features: list[str], target: str = "target", ridge:
     )
     head = moments.first()  # one row of scalars, needed as the solver's penalty
     n, sy = head["__n"], head["__sy"] or 1.0
+    if not n:
+        return known.agg(F.lit(0.0).alias("ic"), F.count(F.when(~F.col("train"), 1)).alias("n_valid")).withColumn("n_train", F.lit(0).cast("bigint"))
     scaled = known.select("train", "__y", *[((F.col(c) - head[f"__m_{c}"]) / head[f"__s_{c}"]).alias(c) for c in features])
     x = VectorAssembler(inputCols=features, outputCol="__x").transform(scaled)
     # the solver divides the penalty by n and scales it by the label deviation
@@ -50,7 +55,9 @@ def ridge_ic(df: DataFrame, features: list[str], target: str = "target", ridge:
         featuresCol="__x", labelCol="__y", predictionCol="__p", solver="normal", fitIntercept=False, standardization=False, regParam=ridge / n * sy
     )
     pred = solver.fit(x.where("train")).transform(x.where("NOT train"))
-    return pred.agg(ic("__p", "__y").alias("ic"), F.count(F.lit(1)).alias("n_valid")).withColumn("n_train", F.lit(n).cast("bigint"))
+    valid = F.count(F.lit(1))
+    enough = (valid > 0) & (valid + n >= MIN_RIDGE_ROWS)
+    return pred.agg(F.when(enough, ic("__p", "__y")).otherwise(0.0).alias("ic"), valid.alias("n_valid")).withColumn("n_train", F.lit(n).cast("bigint"))
 
 
 def ablate(df: DataFrame, features: list[str], candidates: list[str], target: str = "target", min_gain: float = 0.001, ridge: float = 1e-3,
@@ -127,7 +134,7 @@ def regime_weights(metrics: DataFrame, base: float = 1.0, top: float = 5.0) -> D
 def sample_weights(samples: DataFrame, labels: DataFrame, weights: DataFrame, default: float = 1.0, date: str = "date") -> DataFrame:
     """The weight of the regime of each sample's date; ``default`` without one."""
     by_date = labels.join(F.broadcast(weights), "regime").select(date, "weight")  # one row per date
-    return samples.join(F.broadcast(by_date), date, "left").withColumn("weight", F.coalesce("weight", F.lit(default)))
+    return samples.join(by_date, date, "left").withColumn("weight", F.coalesce("weight", F.lit(default)))
 
 
 def feature_trust(assessments: DataFrame, decay: float = 0.95, drop_below: float = -0.5, run: str = "run_ts") -> DataFrame:

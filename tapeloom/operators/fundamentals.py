@@ -55,7 +55,7 @@ def fundamental_features(bars: DataFrame, ratios: DataFrame, snapshot: DataFrame
     enough = ratios.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 2")
     have = [n for n in names if n in ratios.columns]
     right = ratios.join(enough, key, "left_semi").select(key, F.col(report).alias(date), *have)
-    j = asof_join(bars.select(key, date), right, [key], date)
+    j = asof_join(bars.select(key, date), right, [key], date, chunk=None)
     history = enough.select(key, F.lit(True).alias("__h"))
     j = j.join(history, key, "left")
     if snapshot is not None:
@@ -119,8 +119,8 @@ def sentiment_features(bars: DataFrame, news_daily: DataFrame, earnings: DataFra
     w = series(key, date)
     b = bars.select(key, date)
     counted = b.join(news_daily.select(key, date, "n_articles"), [key, date], "left").withColumn("n_articles", F.coalesce(F.col("n_articles").cast("double"), F.lit(0.0)))
-    felt = asof_join(counted, news_daily.select(key, date, "avg_sentiment"), [key], date)
-    j = asof_join(felt, earnings_surprise(earnings).select(key, date, "earnings_surprise"), [key], date)
+    felt = asof_join(counted, news_daily.select(key, date, "avg_sentiment"), [key], date, chunk=None)
+    j = asof_join(felt, earnings_surprise(earnings).select(key, date, "earnings_surprise"), [key], date, chunk=None)
     target, now = F.col("target_mean"), F.col("current_price")
     a = analyst.select(
         key,

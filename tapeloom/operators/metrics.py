@@ -142,11 +142,11 @@ def return_histogram(df: DataFrame, pred: str = "pred", target: str = "target",
     n_bins = edges - 1
     both = known.select(F.explode(F.map_from_arrays(F.array(F.lit("actual"), F.lit("predicted")), F.array(F.col(target), F.col(pred)))).alias("series", "x"))
     both = both.join(F.broadcast(limit)).where((F.col("x") >= -F.col("limit")) & (F.col("x") <= F.col("limit")))
-    at = F.floor((F.col("x") + F.col("limit")) / (2 * F.col("limit")) * n_bins)
+    at = F.coalesce(F.floor(div(F.col("x") + F.col("limit"), 2 * F.col("limit")) * n_bins), F.lit(0))  # all outcomes 0: one bin without a width
     g = both.withColumn("bin", F.least(at, F.lit(n_bins - 1))).groupBy("series", "bin").agg(F.count(F.lit(1)).alias("n"), F.max("limit").alias("limit"))
     total = F.sum("n").over(Window.partitionBy("series"))  # at most `edges` rows
     width = 2 * F.col("limit") / n_bins
-    return g.select("series", "bin", "n", (-F.col("limit") + F.col("bin") * width).alias("left_edge"), (F.col("n") / (total * width)).alias("density"))
+    return g.select("series", "bin", "n", (-F.col("limit") + F.col("bin") * width).alias("left_edge"), div(F.col("n"), total * width).alias("density"))
 
 
 def ic_by_horizon(preds: DataFrame, bars: DataFrame, horizons: list[int], pred: str = "pred", limit: float = 0.5, min_n: int = 10) -> DataFrame:
@@ -223,11 +223,11 @@ def cs_zscore(df: DataFrame, c: str, by: str = "date", out: str | None = None) -
     """Z-score within each date; a date with one row keeps its value.
 
     The moments are aggregated (a large date combines on the map side) and joined
-    back: one row per date, bounded by the calendar.
+    back; whether that table is broadcast is left to its measured size.
     """
     stats = df.groupBy(by).agg(F.avg(c).alias("__m"), F.stddev_pop(c).alias("__s"), F.count(c).alias("__n"))
     z = F.when(F.col("__n") > 1, div(F.col(c) - F.col("__m"), F.col("__s"))).otherwise(F.col(c))
-    return df.join(F.broadcast(stats), by, "left").withColumn(out or c, z).drop("__m", "__s", "__n")
+    return df.join(stats, by, "left").withColumn(out or c, z).drop("__m", "__s", "__n")
 
 
 def quality_report(features: DataFrame, cols: list[str], minute: DataFrame | None = None, target: str = "target",

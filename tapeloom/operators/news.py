@@ -107,7 +107,6 @@ def impact_score(compound: str | Column, length: str | Column) -> Column:
 
 # --- N9 ----------------------------------------------------------------------
 
-_LEVELS = {"month": None, "day": DAY, "hour": 3600}
 
 
 def _top_per(df: DataFrame, keys: list[str], k: int) -> DataFrame:

@@ -180,7 +180,7 @@ def long_short_positions(preds: DataFrame, top: int = 20, k_rule: str = "quarter
     for side, largest in ((1, True), (-1, False)):
         best = top_k(known, pred, top, (date,), largest, ticker)
         sides.append(best.select(date, ticker, target, "rank", F.lit(side).alias("side")))
-    both = sides[0].unionByName(sides[1]).join(F.broadcast(n), date)
+    both = sides[0].unionByName(sides[1]).join(n, date)
     return both.where(F.col("rank") <= _k(F.col("__n"), top, k_rule)).select(date, ticker, "side", target)
 
 
@@ -190,7 +190,7 @@ def turnover(positions: DataFrame, date: str = "date", ticker: str = "ticker") -
     days = positions.select(date).distinct().select(date, F.lag(date).over(w).alias("__prev"))
     # when the same position was held last: one row per date in each (ticker, side)
     held = F.lag(date).over(Window.partitionBy(ticker, "side").orderBy(date))
-    j = positions.select(date, ticker, "side", held.alias("__held")).join(F.broadcast(days), date)
+    j = positions.select(date, ticker, "side", held.alias("__held")).join(days, date)
     new = F.sum(F.when(F.col("__held") == F.col("__prev"), 0).otherwise(1))
     return j.groupBy(date).agg((new / F.count(F.lit(1))).alias("turnover"))
 
@@ -217,7 +217,7 @@ def long_only_daily(preds: DataFrame, top: int = 20, pred: str = "pred", target:
     """One row per date: mean outcome of the best positive predictions, 0 (cash) without any."""
     known = preds.where(F.col(pred).isNotNull() & F.col(target).isNotNull())
     n = known.groupBy(date).agg(F.count(F.lit(1)).alias("__n"))
-    best = top_k(known.where(F.col(pred) > 0), pred, top, (date,), True, ticker).join(F.broadcast(n), date)
+    best = top_k(known.where(F.col(pred) > 0), pred, top, (date,), True, ticker).join(n, date)
     k = F.when(F.col("__n") < top, F.greatest(F.lit(1), F.floor(F.col("__n") / 2))).otherwise(top)
     held = best.where(F.col("rank") <= k).groupBy(date).agg(F.avg(target).alias("__r"))
     return n.join(held, date, "left").select(date, F.coalesce("__r", F.lit(0.0)).alias("ret"))
@@ -249,7 +249,7 @@ def stitched_oos(preds: DataFrame, folds: DataFrame, top: int = 20, k_rule: str
 
     test = assign_folds(preds.withColumnRenamed("fold", "__fold"), folds, date).where("split = 'test' AND fold = __fold").drop("__fold", "split")
     newest = test.groupBy(date).agg(F.max("fold").alias("__f"))  # one row per date
-    test = test.join(F.broadcast(newest), date).where("fold = __f").drop("__f")
+    test = test.join(newest, date).where("fold = __f").drop("__f")
     pos = long_short_positions(test, top, k_rule, date=date, **names)
     target = names.get("target", "target")
     daily = pos.groupBy(date).agg(

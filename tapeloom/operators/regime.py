@@ -350,4 +350,4 @@ def cross_section(features: DataFrame, cols: list[str], target: str = "target",
     known = features.where(F.col(target).isNotNull())
     sizes = known.groupBy(date).agg(F.count(F.lit(1)).alias("n_tickers")).where(F.col("n_tickers") >= min_tickers)
     node = F.array(*[F.coalesce(F.col(c), F.lit(0.0)).cast("float") for c in cols]).alias("node_features")
-    return known.join(F.broadcast(sizes), date).select(date, key, node, F.col(target), "n_tickers")  # sizes: one row per date
+    return known.join(sizes, date).select(date, key, node, F.col(target), "n_tickers")

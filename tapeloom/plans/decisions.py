@@ -57,14 +57,14 @@ HEALTH = f"""{PREDS}, {LAST}, rc AS (SELECT *, row_number() OVER (PARTITION BY t
 
 
 @query("B20_feature_health", f"""WITH {HEALTH} SELECT ticker, feature, {rounds(['zscore', 'nan_rate', 'bad_rate', 'trend_sign', 'latest_value', 'mean', 'std'], 5)}, suspicious, (al OR st) AND NOT suspicious AS supportive,
-  array_to_string(list_filter([CASE WHEN ex THEN 'extreme_zscore' END, CASE WHEN hb THEN 'high_bad_rate' END, CASE WHEN ag THEN 'trend_contradicts_prediction' END, CASE WHEN al THEN 'trend_supports_prediction' END, CASE WHEN st THEN 'stable_feature' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM h4 WHERE feature <> 'close'""")
+  array_to_string(list_filter([CASE WHEN ex THEN 'extreme_zscore' END, CASE WHEN hb THEN 'high_bad_rate' END, CASE WHEN ag THEN 'trend_contradicts_prediction' END, CASE WHEN al THEN 'trend_supports_prediction' END, CASE WHEN st THEN 'stable_feature' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM h4""")
 def b20(spark, sf):
     p = predictions(spark, sf)
     last = p.groupBy("ticker").agg(F.max_by("pred", "date").alias("predicted_return"))
     # every second value of one feature is missing, from the newest on
     odd = F.pmod(F.row_number().over(D.Window.partitionBy("ticker").orderBy(F.desc("date"))), F.lit(2)) == 0
     feats = p.withColumn("__odd", odd).withColumn("rev1", F.when(F.col("__odd"), F.col("rev1")))
-    h = X.feature_health(feats, HC, last, z_limit=1.5, bad_limit=0.45).where("feature <> 'close'")
+    h = X.feature_health(feats, HC, last, z_limit=1.5, bad_limit=0.45)
     return rounded(h.withColumn("reasons", F.array_join("reasons", "; ")), 5)
 
 
