@@ -176,7 +176,8 @@ def s14(spark, sf):
 
 
 _STRIP = r"regexp_replace({x}, '(?s)\s*<[^>]*>\s*', '', 'g')"
-for _name, _char in feeds.ENTITIES:
+# written out here on its own: the references that the pages hold, and the basic ones
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _STRIP = f"replace({_STRIP}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
 _STRIP = r"regexp_replace(" + _STRIP + r", '^\s+|\s+$', '', 'g')"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,16 +16,31 @@ PARAGRAPH_START = r"(?i)<p(?:\s[^>]*)?>"
 PARAGRAPH_END = r"(?is)</p\s*>.*$"
 ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*?)</article\s*>"
 TAG = r"(?s)\s*<[^>]*>\s*"
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 ARTICLE_HOST = "finance.yahoo.com"
 MIN_PARAGRAPH, MIN_PAGE, MIN_TEXT, SHORT_TEXT = 40, 100, 50, 80
 
 
+def decode_entities(c: str | Column) -> Column:
+    """Named, decimal and hexadecimal character references as characters; a hard blank as a blank, unknown ones as they are."""
+    parts = F.split(col(c), "&", -1)
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, code)])
+
+    def one(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^#(\d{1,7});", 1).try_cast("int")
+        hexed = F.conv(F.nullif(F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,6});", 1), F.lit("")), 16, 10).cast("int")
+        named = F.when(F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1) == "apos", 39).otherwise(F.try_element_at(names, F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)))
+        code = F.coalesce(number, hexed, named)
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+        char = F.when(code == 0xA0, " ").when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.concat(char, F.regexp_replace(part, "^[^;]*;", "")), F.concat(F.lit("&"), part))
+
+    later = F.transform(F.slice(parts, F.lit(2), F.size(parts)), one)
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(later, ""))
+
+
 def strip_html(c: str | Column) -> Column:
     """Text of a fragment: tags removed together with the blanks around them, entities decoded."""
-    out = F.regexp_replace(col(c), TAG, "")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
+    out = decode_entities(F.regexp_replace(col(c), TAG, ""))
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
@@ -128,8 +145,26 @@ JOURNAL_SCHEMA = (
 
 
 def read_journal(spark: SparkSession, path: str, schema: str = JOURNAL_SCHEMA) -> DataFrame:
-    """Journal lines as rows; lines that are not valid JSON are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Journal lines as rows; only lines that are no JSON object are skipped.
+
+    Fields are read as text and cast, so a number kept as text counts and a value
+    that does not fit its field is NULL.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    text = T.StructType([*[T.StructField(f.name, T.StringType()) for f in fields], T.StructField("__bad", T.StringType())])
+    parsed = spark.read.text(path).select(F.from_json("value", text, {"columnNameOfCorruptRecord": "__bad"}).alias("j"), F.col("value"))
+    rows = parsed.where(F.col("j.__bad").isNull() & F.trim("value").startswith("{"))
+
+    def typed(f: T.StructField) -> Column:
+        c = F.col(f"j.{f.name}")
+        if isinstance(f.dataType, T.StringType):
+            return c.alias(f.name)
+        if isinstance(f.dataType, T.MapType):
+            kind = f.dataType.valueType.simpleString()
+            return F.transform_values(F.from_json(c, "map<string,string>"), lambda k, v: F.trim(v).try_cast(kind)).alias(f.name)
+        return F.trim(c).try_cast(f.dataType.simpleString()).alias(f.name)
+
+    return rows.select(*map(typed, fields))
 
 
 def write_journal(df: DataFrame, path: str) -> None:

@@ -70,3 +70,27 @@ def test_work_folder_needs_a_setting_on_a_cluster(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_dir(Session())
     assert work_dir(spark)
+
+
+def test_entities_and_tags(spark):
+    from tapeloom.sources import feeds
+
+    df = spark.createDataFrame([("a &amp;lt; b &#8217; &mdash; caf&eacute; &#x41;&nbsp;&unknown; &; & &#0; 5 &lt; 6",), (None,), ("plain",)], "t string")
+    got = [r["x"] for r in df.select(feeds.decode_entities("t").alias("x")).collect()]
+    assert got == ["a &lt; b \u2019 \u2014 caf\u00e9 A &unknown; &; & &#0; 5 < 6", None, "plain"]
+
+
+def test_publisher_page_keeps_short_paragraphs(spark):
+    from tapeloom.sources import feeds
+
+    html = "<p>Menu</p><article><p>Short.</p><p>It&rsquo;s <b>long</b>er.</p></article><p>" + "x" * 120 + "</p>"
+    df = spark.createDataFrame([("https://finance.yahoo.com/a", html), ("https://example.org/a", html)], "url string, html string")
+    assert [r["article"] for r in feeds.extract_article_text(df).collect()] == ["Short. It\u2019slonger.", "x" * 120]
+
+
+def test_journal_keeps_lines_of_odd_types(spark, tmp_path):
+    from tapeloom.sources import feeds
+
+    (tmp_path / "j.jsonl").write_text('{"ticker": "A", "entry_price": "2.5", "regime_features": {"x": "1.5", "y": 2}}\n{"ticker": 7, "entry_price": "n/a"}\nbroken {\n\n[1]\n')
+    got = sorted((r["ticker"], r["entry_price"], r["regime_features"]) for r in feeds.read_journal(spark, str(tmp_path)).collect())
+    assert got == [("7", None, None), ("A", 2.5, {"x": 1.5, "y": 2.0})]
