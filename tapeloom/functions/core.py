@@ -44,6 +44,12 @@ def div(a, b) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def seeded(seed: int, *cols: str) -> Column:
+    """A number in [0, 2^60) drawn from the row's columns and a seed: the first 15 hex digits of a digest that any engine has."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def clip(c, lo: float, hi: float) -> Column:
     """Clamp to [lo, hi]; NULL stays NULL (``least``/``greatest`` would drop it)."""
     c = col(c)

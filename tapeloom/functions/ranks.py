@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import col
+from .core import col, seeded
 
 BUCKETS = 64
 
@@ -122,8 +122,7 @@ def hash_rank(df: DataFrame, key: str, seed: int, out: str = "rank", bits: int =
 
     The leading bits of a uniform hash are balanced ordered buckets by construction.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    df = df.withColumn("__h", h).withColumn("__k", F.shiftright("__h", 64 - bits))
+    df = df.withColumn("__h", seeded(seed, key)).withColumn("__k", F.shiftright("__h", 60 - bits))
     counts = df.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
     order = Window.partitionBy(F.lit(0)).orderBy("__k")  # at most 2^bits rows
     counts = counts.select(

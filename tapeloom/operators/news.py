@@ -7,7 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import add_all, clip, col, series
+from ..functions.core import add_all, clip, col, seeded, series
 from ..functions.scan import rolling_moments
 from ..session import materialize
 
@@ -79,7 +79,7 @@ def intraday_flag(ts: str | Column) -> Column:
 
 def cap_articles(news: DataFrame, n: int = 10, seed: int = 42, key: str = "ticker", date: str = "date", ident: str = "url") -> DataFrame:
     """A seeded sample of at most n articles per ticker and day."""
-    w = Window.partitionBy(key, date).orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident)
+    w = Window.partitionBy(key, date).orderBy(seeded(seed, ident), ident)
     return news.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import TRADING_DAYS, div
+from ..functions.core import TRADING_DAYS, div, seeded
 
 FLAT = 1e-10
 
@@ -266,7 +266,7 @@ def baseline_predictions(preds: DataFrame, kind: str, target: str = "target", se
         value = F.coalesce(F.lag(target).over(Window.partitionBy(key).orderBy(date)), F.lit(0.0))
     elif kind == "random":
         # two hashes of the row make one normal draw
-        u = [(F.pmod(F.xxhash64(F.col(key), F.col(date), F.lit(seed + i)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1) for i in (0, 1)]
+        u = [(seeded(seed + i, key, date) % (1 << 40) + 1) / float((1 << 40) + 1) for i in (0, 1)]
         value = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
     else:
         raise ValueError("kind must be 'random', 'lagged' or 'zero'")

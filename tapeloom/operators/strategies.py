@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import clip, div, rows, series
+from ..functions.core import clip, div, rows, seeded, series
 from .daily import macd_lines, rsi
 
 LONG, SHORT = 1.0, -0.5
@@ -81,7 +81,7 @@ def random_signal(df: DataFrame, seed: int = 42, p: float = 0.1) -> DataFrame:
     w = series()
 
     def draw(i: int, n: int) -> Column:
-        return F.pmod(F.xxhash64(F.col("ticker"), F.col("date"), F.lit(seed + i)), F.lit(n))
+        return seeded(seed + i, "ticker", "date") % n
 
     choices = F.array(*[F.lit(x) for x in (-1.0, -0.5, 0.0, 0.5, 1.0)])
     pick = F.when(draw(0, 1_000_000) < int(p * 1_000_000), F.element_at(choices, (draw(1, 5) + 1).cast("int")))

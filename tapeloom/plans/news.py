@@ -8,7 +8,7 @@ from ..functions.core import rounded
 from ..operators import news as N
 from ..sources import tables as T
 from .registry import query, r6, rounds, scaled, scaled_sql
-from .sql import BARS, NEWS, NUM, VECTORS, lag, win
+from .sql import BARS, NEWS, NUM, VECTORS, lag, seeded_sql, win
 
 
 def _count(text, terms):
@@ -56,7 +56,8 @@ def n5(spark, sf):
     return T.news(spark, sf).select("doc_id", N.intraday_flag("published_at").alias("has_time"))
 
 
-@query("N6_cap_articles")
+@query("N6_cap_articles", f"""WITH {NEWS.replace('% 100)', '% 10)')}, y AS (SELECT ticker, CAST(date_trunc('year', date) AS DATE) AS date, doc_id, url FROM news),
+  r AS (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY {seeded_sql(42, 'url')}, url) AS k FROM y) SELECT ticker, date, doc_id, url FROM r WHERE k <= 10""")
 def n6(spark, sf):
     n = T.news(spark, sf, 10).withColumn("date", F.trunc("date", "year"))
     return N.cap_articles(n).select("ticker", "date", "doc_id", "url")

@@ -13,7 +13,7 @@ from ..sources import tables as T
 from .daily import MACD, RSI
 from .metrics import DAILY, FM, MODELS, PERF, PREDS, daily_returns, fold_metrics, metrics_sql, perf_sql, positions_sql, predictions, turnover_sql
 from .registry import query, r6, rounds
-from .sql import BARS, NUM, lag, run, win
+from .sql import BARS, NUM, lag, run, seeded_sql, win
 from .targets import FOLDS, windows_sql
 
 
@@ -74,7 +74,8 @@ def b6(spark, sf):
     return _sig(S.rsi_signal(T.bars_daily(spark, sf)))
 
 
-@query("B7_random_signal")
+@query("B7_random_signal", f"""WITH {BARS}, d AS (SELECT ticker, date, CASE WHEN {seeded_sql(42, 'ticker', 'date')} % 1000000 < 100000 THEN [-1.0, -0.5, 0.0, 0.5, 1.0][{seeded_sql(43, 'ticker', 'date')} % 5 + 1] END AS p FROM bars)
+  SELECT ticker, date, {r6('coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING), 0.0)', 'signal')} FROM d""")
 def b7(spark, sf):
     return _sig(S.random_signal(T.bars_daily(spark, sf)))
 
@@ -211,7 +212,8 @@ def b17_zero(spark, sf):
     return rounded(M.regression_metrics(P.baseline_predictions(predictions(spark, sf), "zero")))
 
 
-@query("B17_baseline_random")
+@query("B17_baseline_random", f"""WITH {PREDS}, b AS (SELECT *, sqrt(-2 * ln(({seeded_sql(42, 'ticker', 'date')} % 1099511627776 + 1) / 1099511627777::DOUBLE)) * cos(2 * pi() * (({seeded_sql(43, 'ticker', 'date')} % 1099511627776 + 1) / 1099511627777::DOUBLE)) AS p FROM preds),
+  g AS (SELECT {metrics_sql('p', 'target')} FROM b) SELECT {rounds(['mse', 'rmse', 'mae', 'ic', 'directional_accuracy'])}, n_samples FROM g""")
 def b17_random(spark, sf):
     return rounded(M.regression_metrics(P.baseline_predictions(predictions(spark, sf), "random")))
 

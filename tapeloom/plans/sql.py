@@ -85,3 +85,8 @@ VECTORS = """vectors AS (
          exp(CAST(embedding[3] AS DOUBLE)) / z AS neu, CAST((vec_id * 131) % 5000 + 20 AS DOUBLE) AS art_len, embedding
   FROM (SELECT *, exp(CAST(embedding[1] AS DOUBLE)) + exp(CAST(embedding[2] AS DOUBLE)) + exp(CAST(embedding[3] AS DOUBLE)) AS z
         FROM embeddings))"""
+
+
+def seeded_sql(seed: int, *cols: str) -> str:
+    """The draw of a row: the first 15 hex digits of the md5 of its columns and the seed."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols)}, '{seed}')), 1, 15) AS BIGINT)"

@@ -9,7 +9,7 @@ from ..operators import targets as G
 from ..sources import tables as T
 from .daily import ewm_std_sql
 from .registry import query, r6, scaled, scaled_sql
-from .sql import BARS, NUM, SECTORS, event_bars
+from .sql import BARS, NUM, SECTORS, event_bars, seeded_sql
 
 
 def _lead(c, h, key="ticker", order="date"):
@@ -102,7 +102,8 @@ def t8(spark, sf):
     return G.global_date_split(T.bars_daily(spark, sf)).select("ticker", "date", "split")
 
 
-@query("T9_ticker_split")
+@query("T9_ticker_split", f"""WITH {SECTORS}, r AS (SELECT ticker, row_number() OVER (ORDER BY {seeded_sql(42, 'ticker')}, ticker) - 1 AS place, count(*) OVER () AS total FROM (SELECT DISTINCT ticker FROM sectors))
+  SELECT ticker, CASE WHEN place < total * 8 // 10 THEN 'train' WHEN place < total * 8 // 10 + total // 10 THEN 'val' ELSE 'test' END AS split FROM r""")
 def t9(spark, sf):
     return G.ticker_split(T.sectors(spark, sf))
 
