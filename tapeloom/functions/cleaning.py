@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import col, div, finite, series, zero_fill
+from .core import col, finite, series, zero_fill
 
 # Sector names in id order, spellings that map to them, size classes.
 SECTORS = [

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import clean
-from ..functions.core import EPS, TRADING_DAYS, clip, col, div, lag_or_first, pct_change, rolling, rows, series, sma
+from ..functions.core import EPS, TRADING_DAYS, clip, div, lag_or_first, pct_change, rolling, rows, series, sma
 from ..functions.scan import add_grid, ema_many, rolling_moments, span_alpha, wilder_many, wilder_seed
 
 ANNUAL = math.sqrt(TRADING_DAYS)
@@ -242,6 +242,7 @@ def calendar_features(df: DataFrame, date: str = "date") -> DataFrame:
     )
 
 
+# Names of the raw-plus features.
 RAW_PLUS = [
     "log_ret_1d", "log_ret_5d", "log_ret_20d", "real_vol_5d", "real_vol_20d", "vol_regime", "rsi", "vwap_dist",
     "rel_vol", "atr_norm", "gap", "body_ratio", "dow_sin", "dow_cos", "month_sin", "month_cos", "turn_of_month",
@@ -317,6 +318,7 @@ def recursive_features(df: DataFrame, period: int = 14) -> DataFrame:
     return df.withColumns(out).select(*base, *RECURSIVE)
 
 
+# Groups of feature names.
 GROUPS = {
     "returns": ([returns], [*[f"return_{h}d" for h in RETURN_HORIZONS], "log_return_1d"]),
     "volatility": (

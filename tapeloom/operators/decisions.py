@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import EPS, clip, div, series
+from ..functions.core import EPS, clip, div
 from .joins import nth_bar_after
 
 TINY = 1e-6

@@ -7,7 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import clip, div, finite, zero_fill
+from ..functions.core import clip, div, finite
 from ..functions.ranks import value_ranks
 from .metrics import ic
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import ffill, fix_percent_form, winsorize_median
-from ..functions.core import EPS, clip, col, div, finite, pct_change, rows, series, zero_fill
+from ..functions.core import EPS, div, finite, pct_change, rows, series
 from .joins import asof_join
 
+# Names of the ratios.
 HISTORY_RATIOS = [
     "gross_margin", "operating_margin", "net_margin", "roe", "roa", "debt_to_equity", "revenue_growth", "earnings_growth",
 ]
@@ -74,6 +75,7 @@ def fundamental_features(bars: DataFrame, ratios: DataFrame, snapshot: DataFrame
     return ffill(winsorize_median(df, list(out), limit, key), list(out), key, date)
 
 
+# Names of the sentiment columns.
 SENTIMENT_COLUMNS = [
     "sent_news_volume_1d", "sent_news_volume_5d_avg", "sent_headline_sentiment", "sent_headline_sentiment_5d_avg", "sent_earnings_surprise",
     "sent_analyst_rating", "sent_analyst_rating_change", "sent_analyst_target_upside", "sent_target_price_dispersion", "sent_insider_activity",

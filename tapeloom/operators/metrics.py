@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import clip, col, div, safe_corr, series
-from ..functions.ranks import exact_quantiles, spearman, value_ranks
+from ..functions.ranks import exact_quantiles, spearman
 
 FLAT = 1e-10  # a deviation below this counts as constant
 

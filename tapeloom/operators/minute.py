@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import col, div, pct_change, rolling, series
+from ..functions.core import pct_change, rolling, series
 from ..functions.scan import ema_many, span_alpha
 from .daily import adx, macd_lines, rsi, true_range
 

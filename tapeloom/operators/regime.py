@@ -8,14 +8,13 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import RobustScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import EPS, TRADING_DAYS, clip, col, div, finite, pct_change, rolling, rows, safe_corr, series, zero_fill
+from ..functions.core import EPS, TRADING_DAYS, clip, div, finite, pct_change, rolling, rows, series, zero_fill
 from ..functions.scan import rolling_moments, rolling_shape
-from .joins import asof_join
 
+# Names of the regime columns.
 REGIME_COLUMNS = [
     "regime_spy_ret5", "regime_spy_vol20", "regime_vix_level", "regime_vix_ret5",
     "regime_tlt_ret5", "regime_gld_ret5", "regime_spy_breadth", "regime_corr_spy_tlt",
@@ -82,6 +81,7 @@ def regime_normalize(df: DataFrame, window: int = 60, cols=tuple(REGIME_COLUMNS)
     return df.select("date", *[F.lag(c, 1, 0.0).over(w).alias(c) for c in cols])
 
 
+# Names of the extended columns.
 EXTENDED = [
     "vol_20d", "vol_60d", "vol_120d", "vol_regime", "trend_20d", "trend_60d", "trend_120d", "momentum_20d", "momentum_60d",
     "momentum_120d", "drawdown", "drawdown_pct", "volume_regime", "autocorr_20d", "skew_60d", "kurt_60d", "vix", "vix_regime", "vix_change_5d",
@@ -190,6 +190,7 @@ def lookup_regime(df: DataFrame, regime: DataFrame, default: dict[str, object],
     return j.withColumns({c: F.coalesce(F.col(c), F.lit(default[c])) for c in cols if c in default})
 
 
+# Names of the macro series and columns.
 MACRO_SERIES = ["vix", "vix3m", "tnx", "irx", "sp500", "rsp", "spy", "hyg", "lqd", "gld", "uup", "uso"]
 MACRO_COLUMNS = [
     "macro_vix", "macro_vix_sma20_dist", "macro_vix_term_structure", "macro_yield_10y", "macro_yield_2y", "macro_yield_curve",

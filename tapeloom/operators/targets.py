@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import EPS, clip, series
+from ..functions.core import clip, series
 from ..functions.ranks import hash_rank
 from ..functions.scan import ewm_std
 

@@ -8,15 +8,14 @@ from ..functions.core import rounded
 from ..operators import daily as D
 from ..operators import decisions as X
 from ..operators import feedback as L
-from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import portfolio as P
 from ..operators import targets as G
 from ..sources import tables as T
 from ..sources.feeds import JOURNAL_SCHEMA
-from .metrics import FM, MODELS, PREDS, fold_metrics, metrics_sql, predictions
+from .metrics import MODELS, PREDS, metrics_sql, predictions
 from .registry import query, r6, rounds
-from .sql import BARS, BRAND, event_bars, lag
+from .sql import BARS, event_bars, lag
 from .targets import FOLDS, windows_sql
 
 def model_map():

@@ -12,7 +12,7 @@ from ..operators.strategies import hold_last
 from ..session import work_dir
 from ..sources import tables as T
 from .registry import query, r6, rounds
-from .sql import BARS, event_bars, lag, run, sma as sma_sql, win
+from .sql import BARS, lag, run, sma as sma_sql
 from .targets import FOLDS, windows_sql
 
 MODELS = ["ret5", "rev1", "sma20"]
@@ -150,10 +150,6 @@ def a8(spark, sf):
     return rounded(M.ic_over_time(predictions(spark, sf)))
 
 
-def _edges(q: str) -> str:
-    return f"(SELECT list_distinct(quantile_cont(pred, {q})) AS e FROM preds)"
-
-
 @query("A9_calibration", f"""WITH {PREDS}, e AS (SELECT list_sort(list_distinct(quantile_cont(pred, [{', '.join(str(i / 10) for i in range(11))}]))) AS e FROM preds),
   b AS (SELECT target, len(list_filter(e[2:len(e) - 1], lambda x: x <= pred)) + 1 AS bin FROM preds, e),
   g AS (SELECT bin, avg(target) AS mean, stddev_pop(target) / sqrt(count(*)) AS sem, count(*) AS n FROM b GROUP BY bin HAVING count(*) >= 5),

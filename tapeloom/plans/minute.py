@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.core import rounded
 from ..operators import minute as M
-from ..operators import news as N
 from ..sources import tables as T
 from .daily import EPS, PI, ema_rec
-from .registry import query, r6, rounds
-from .sql import VECTORS, event_bars, lag, run, win
+from .registry import query, r6
+from .sql import VECTORS, event_bars, lag, win
 
 MB = event_bars()
 KEY = ("ticker", "ts")

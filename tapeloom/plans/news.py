@@ -8,7 +8,7 @@ from ..functions.core import rounded
 from ..operators import news as N
 from ..sources import tables as T
 from .registry import query, r6, rounds, scaled, scaled_sql
-from .sql import BARS, NEWS, NUM, VECTORS, lag, seeded_sql, win
+from .sql import BARS, NEWS, VECTORS, lag, seeded_sql, win
 
 
 def _count(text, terms):

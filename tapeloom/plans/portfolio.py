@@ -11,7 +11,7 @@ from ..operators import strategies as S
 from ..operators import targets as G
 from ..sources import tables as T
 from .daily import MACD, RSI
-from .metrics import DAILY, FM, MODELS, PERF, PREDS, daily_returns, fold_metrics, metrics_sql, perf_sql, positions_sql, predictions, turnover_sql
+from .metrics import FM, MODELS, PERF, PREDS, fold_metrics, metrics_sql, perf_sql, positions_sql, predictions, turnover_sql
 from .registry import query, r6, rounds
 from .sql import BARS, NUM, lag, run, seeded_sql, win
 from .targets import FOLDS, windows_sql
@@ -53,10 +53,6 @@ def b4(spark, sf):
     return _sig(S.mean_reversion(T.bars_daily(spark, sf)))
 
 
-def mom_sig(n):
-    return f"coalesce(least(greatest((close / {lag('close', n)} - 1) * 10, -1.0), 1.0), 0.0)"
-
-
 def mom_safe(n):
     return f"CASE WHEN t < {n} THEN 0.0 ELSE least(greatest((close / {lag('close', n)} - 1) * 10, -1.0), 1.0) END"
 

@@ -12,7 +12,7 @@ from ..sources import tables as T
 from .metrics import PREDS, predictions
 from .news import ND
 from .registry import query, r6, rounds, scaled, scaled_sql
-from .sql import BARS, BRAND, NEWS, SECTORS, lag, pct, run, win
+from .sql import BARS, BRAND, SECTORS, lag, pct, run, win
 
 W = "OVER (ORDER BY date)"
 

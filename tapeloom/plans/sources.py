@@ -11,9 +11,8 @@ from ..session import materialize, work_dir
 from ..sources import bars as B
 from ..sources import feeds
 from ..sources import tables as T
-from .daily import EPS
-from .registry import query, r6, rounds
-from .sql import BARS, BRAND, NEWS, SECTORS, event_bars, lag, pct, std0, win, run
+from .registry import query, r6
+from .sql import BARS, BRAND, NEWS, SECTORS, event_bars, pct, std0, run
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 OUT = ", ".join(r6(c, c, 8) for c in OHLCV)

@@ -9,10 +9,9 @@ from ..operators import news as N
 from ..session import configure, work_dir
 from ..sources import tables as T
 from ..streaming import bars as X
-from .daily import ema_rec
 from .news import STATS
-from .registry import query, r6, rounds
-from .sql import VECTORS, event_bars
+from .registry import query, r6
+from .sql import VECTORS
 
 def source(spark, sf, name, glob=None):
     """A table of the test data as a file stream."""

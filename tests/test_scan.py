@@ -1,7 +1,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tapeloom.functions import scan
 from tapeloom.functions.core import pct_change, series
