@@ -3,7 +3,6 @@
 import collections
 import hashlib
 import itertools
-import json
 import random
 import re
 import zlib
@@ -11,7 +10,6 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapeloom.llm import decontaminate, graph, html_text, jaccard_join, language, line_dedup, mixing, quality_model, quality_rules, token_counts, url_filter
 from tapeloom.llm.common import numbered
