@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,7 @@ SHINGLE = 3
 PERCENT = 90
 WIDTH = 1.25  # sizes of a band reach so far
 ELEMENTS = 7.0  # a signature should cover so many elements
-BLOCK = 16  # members of one signature that are compared with one another at once
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -146,11 +146,6 @@ def _key():
     return F.xxhash64("doc_id", "text")
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return np.split(flat, (ends[1:-1] - ends[0]))
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(a, elements) for the sets ``wanted`` (a, _key)."""
 
@@ -160,6 +155,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             own = [_set(hashes, t, n).view(np.int64) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(own, pa.list_(pa.int64()))], names=["a", "elements"])
 
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)  # two numbers a row; larger ones are joined by key
     texts = docs.select(_key().alias("_key"), "text").join(wanted, "_key").select("a", "text")
     return texts.mapInArrow(run, "a bigint, elements array<bigint>").dropDuplicates(["a"])
 
@@ -172,31 +169,80 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.where(F.col("c") * 100 >= (F.size("x") + F.size("y") - F.col("c")) * percent).select("u", "v")
 
 
-def _fits(x: str, y: str, percent: int):
+def _fits(x: str, y: str, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _split(members: DataFrame, sets: DataFrame, salt: int, percent: int) -> DataFrame:
-    """Deal members of crowded signatures by a second, independent signature: similar members share one of these, too."""
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log2(n) * 64).cast("int")  # steps of about one percent
 
-    def run(parts):
-        for batch in batches(parts):
-            more = [signatures(x.view(np.uint64), salt, percent) for x in _arrays(batch.column("elements"))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(more, pa.list_(pa.int64()))], names=["a", "more"])
 
-    crowd = members.select("a").distinct()
-    again = sets.join(crowd, "a", "left_semi").select("a", "elements").mapInArrow(run, "a bigint, more array<bigint>")
-    return members.join(again, "a").select("a", "n", "score", F.explode("more").alias("_more"), "sig").select(F.xxhash64("sig", "_more").alias("sig"), "a", "n", "score")
+def _open(members: DataFrame) -> DataFrame:
+    """Members of signatures that hold more than one component, with what stands in the signature.
+
+    ``top`` is the most central member, ``classes`` are those of the members' sizes.
+    """
+    crowd = members.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct("score", "a", "n", "c")).alias("top"), F.collect_set(_size_class(F.col("n"))).alias("classes"))
+    return members.join(crowd.where("lo <> hi").drop("lo", "hi"), "sig")
+
+
+def _promising(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Open members that may still have a link to another component, with ``v``, their elements that another component has.
+
+    A partner shares no other elements, so v bounds the intersection: sets with too
+    small a v have no link outside their component, and neither have those for whom
+    no member of their signature is small enough.
+    """
+    open_ = materialize(_open(members).drop("top", "classes"))
+    nodes = open_.select("a", "c", "n").distinct()
+    elements = sets.join(nodes, "a").select("a", "c", F.explode("elements").alias("x"))
+    common = elements.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("x")
+    shared = elements.join(common, "x", "left_semi").groupBy("a").agg(F.count(F.lit(1)).alias("v"))
+    kept = _open(open_.join(shared, "a").where(F.col("v") * 100 >= F.col("n") * percent))
+    in_reach = F.exists("classes", lambda k: (k >= F.col("low")) & (k <= F.col("high")))
+    return materialize(_open(kept.select("*", *_reach(percent)).where(in_reach).drop("low", "high", "top", "classes")).drop("classes"))
+
+
+def _reach(percent: int) -> list[Column]:
+    """Classes of the sizes that a partner can have."""
+    smallest = F.ceil(F.col("n") * percent / 100)
+    largest = F.floor((F.col("v") * (100 + percent) - F.col("n") * percent) / percent)
+    return [_size_class(smallest).alias("low"), _size_class(F.greatest(largest, F.lit(1))).alias("high")]
+
+
+def _by_difference(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members of one signature that are in different components.
+
+    All members are held against the signature's most central set o by what differs:
+    the Hamming distance of two sets is that of their differences from o.  At least
+    one of the two is not linked with o; if their differences had no element in
+    common, their distance would then be over the bound, too.  So pairs are found by
+    elements that both differences hold, and the number of those gives the distance.
+    """
+    far, near = F.lit(100 + percent), F.lit(100 - percent)
+    pairs = left.select(F.col("top.a").alias("o"), F.col("top.c").alias("oc"), F.col("top.n").alias("on"), "a", "c", "n").where("a <> o").distinct()
+    x, y = sets.select("a", F.col("elements").alias("x")), sets.select(F.col("a").alias("o"), F.col("elements").alias("y"))
+    apart = F.array_union(F.array_except("x", "y"), F.array_except("y", "x"))
+    held = materialize(pairs.join(x, "a").join(y, "o").withColumn("apart", apart).drop("x", "y").withColumn("d", F.size("apart")))
+    direct = held.where((F.col("c") != F.col("oc")) & (F.col("d") * far <= (F.col("n") + F.col("on")) * near)).select(F.col("a").alias("u"), F.col("o").alias("v"))
+    each = held.select("o", "oc", "a", "c", "n", "d", F.explode("apart").alias("e"))
+    other = each.select("o", "e", F.col("a").alias("pa"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("d").alias("pd"))
+    bound = (F.col("n") + F.col("pn")) * near
+    # two seekers meet once; a seeker and a member of the main component always do
+    once = (F.col("pc") == F.col("oc")) | (F.col("a") < F.col("pa"))
+    met = each.where(F.col("c") != F.col("oc")).join(other, ["o", "e"]).where(once & (F.col("c") != F.col("pc")) & (F.abs(F.col("d") - F.col("pd")) * far <= bound))
+    distance = F.col("d") + F.col("pd") - F.col("common") * 2
+    counted = met.groupBy("o", "a", "pa", "n", "pn", "d", "pd").agg(F.count(F.lit(1)).alias("common"))
+    return direct.unionAll(counted.where(distance * far <= bound).select(F.col("a").alias("u"), F.col("pa").alias("v"))).distinct()
 
 
 def _links(docs: DataFrame, feats: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, component) of the sets that are linked with another.
 
     First every set is compared with the most central set that it shares a signature
-    with; that settles most signatures.  Where the members of a signature are still
-    in different components, few members are compared with one another and many with
-    the most central of them, which then leaves; the rest are dealt anew by further
-    signatures.  The loop ends when every signature's members are compared or linked.
+    with.  Then, where the members of a signature are in different components, those
+    that cannot have a link outside their own are left out.  Links among the rest are
+    found by how they differ from their signature's most central set.
     """
     exploded = feats.where("sigs is not null").select(F.explode("sigs").alias("sig"), "a")
     shared = exploded.groupBy("sig").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("sig")
@@ -204,28 +250,16 @@ def _links(docs: DataFrame, feats: DataFrame, nodes: DataFrame, n: int, percent:
     score = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).join(members, "sig").groupBy("a").agg(F.sum("m").alias("score"))
     known = materialize(score.join(nodes.groupBy("a").agg(F.first("n").alias("n"), F.min("_key").alias("_key")), "a"))
     sets = materialize(_sets(docs, known.select("a", "_key"), n))
-    members = materialize(members.join(known.drop("_key"), "a").select("sig", "a", "n", "score"))
+    members = members.join(known.drop("_key"), "a").select("sig", "a", "n", "score")
     top = F.max(F.struct("score", "a", "n")).alias("top")
     best = members.join(members.groupBy("sig").agg(top), "sig").where((F.col("top.a") != F.col("a")) & _fits("n", "top.n", percent)).groupBy("a").agg(F.max("top").alias("top"))
     links = materialize(_verified(best.select(F.col("a").alias("u"), F.col("top.a").alias("v")), sets, percent))
     found = materialize(components(links))
-    salt = 0
-    while True:
-        salt += 1
-        labelled = members.join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
-        open_ = labelled.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), top).where("lo <> hi").select("sig", "m", "top")
-        left = materialize(labelled.join(open_, "sig"))
-        if left.isEmpty():
-            return found
-        few, many = left.where(F.col("m") <= BLOCK), left.where(F.col("m") > BLOCK)
-        other = few.select("sig", F.col("a").alias("v"), F.col("c").alias("vc"), F.col("n").alias("vn"))
-        within = few.join(other, "sig").where((F.col("a") < F.col("v")) & (F.col("c") != F.col("vc")) & _fits("n", "vn", percent)).select(F.col("a").alias("u"), "v")
-        heads = many.join(found.select(F.col("node").alias("_top"), F.col("component").alias("tc")), F.col("top.a") == F.col("_top"), "left")
-        heads = heads.where((F.col("top.a") != F.col("a")) & (F.coalesce("tc", F.col("top.a")) != F.col("c")) & _fits("n", "top.n", percent))
-        pairs = within.unionAll(heads.select(F.least("a", "top.a").alias("u"), F.greatest("a", "top.a").alias("v"))).distinct()
-        links = materialize(links.unionAll(_verified(pairs, sets, percent)))
-        found = materialize(components(links))
-        members = materialize(_split(many.where(F.col("top.a") != F.col("a")).select("sig", "a", "n", "score"), sets, salt, percent).distinct())
+    labelled = members.join(found.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
+    left = _promising(labelled, sets, percent)
+    if left.isEmpty():
+        return found
+    return components(materialize(links.unionAll(_by_difference(left, sets, percent))))
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
