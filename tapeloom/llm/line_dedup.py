@@ -206,7 +206,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     first = materialize(lines.groupBy("a", "b").agg(F.min(_place()).alias("place"), F.max(_place()).alias("last")))
     suspects = materialize(_suspect_lines(docs, lines, first))
     near = _edit_links(suspects).withColumn("near", F.lit(True))
-    repeated = first.join(near, ["a", "b"], "left").where("near or place < last").select("a", "b", "place", F.coalesce("near", F.lit(False)).alias("near"))
+    # written on its own, so that the next join stands alone and Spark can split it where a line is hot
+    repeated = materialize(first.join(near, ["a", "b"], "left").where("near or place < last").select("a", "b", "place", F.coalesce("near", F.lit(False)).alias("near")))
     gone = lines.select("doc_id", "_key", "line", "a", "b").join(repeated, ["a", "b"]).where(F.col("near") | (F.col("place") < _place()))
     return gone.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))  # at most the lines of one text
 
