@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return jaccard_join.keep_one(docs)
+    """One document of each group of near copies stays: Jaccard similarity of 0.8 or more on windows of five words."""
+    return jaccard_join.keep_one(docs, shingle=5, percent=80)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

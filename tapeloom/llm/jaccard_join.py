@@ -5,7 +5,11 @@ Two sets with Jaccard similarity of s or more and sizes a and b differ in at mos
 domain is dealt by hash into n1 parts, at least one of which holds at most
 k2 = ceil((k + 1)/n1) - 1 of the differing elements; dealt again into n2 pieces, that
 part agrees in n2 - k2 of its pieces.  Every part and every choice of n2 - k2 pieces
-gives a signature of what the set has there, so similar sets share one.
+gives a signature of what the set has there, so similar sets share one.  Below
+``PERCENT`` that takes too many signatures or leaves most of them empty, hence equal
+for unlike sets: there are k + 1 + e parts, e + 1 of which agree, and each set leaves
+out the e parts where it has least.  Parts that agree have the same order in both
+sets, so the last of them has e parts before it and is left out by neither.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ class Band:
     parts: int
     pieces: int
     choices: tuple[tuple[int, ...], ...]
+    spare: int = 0  # so many parts, those with the fewest elements, give no signature
 
 
 @lru_cache(100_000)
@@ -59,6 +64,9 @@ def band(number: int, percent: int = PERCENT) -> Band:
     before, top = (_top(number - 1) if number else 0), _top(number)
     k = 2 * top * (100 - percent) // (100 + percent)
     low = -(-(before + 1) * percent // 100)
+    if percent < PERCENT:
+        spare = (k + 1) // 4
+        return Band(number, low, top, k + 1 + spare, 1, ((0,),), spare)
     plans = []
     for k2 in range(4):
         n1 = -(-(k + 1) // (k2 + 1))
@@ -107,6 +115,10 @@ def signatures(elements: np.ndarray, salt: int = 0, percent: int = PERCENT) -> n
         np.add.at(sums, ((spread >> np.uint64(20)) % np.uint64(cells)).astype(np.int64), spread)
         table = sums.reshape(b.parts, b.pieces)
         name = np.arange(b.parts, dtype=np.uint64) * np.uint64(1009) + np.uint64(b.number << 40)
+        if b.spare:
+            held = np.bincount(((spread >> np.uint64(20)) % np.uint64(cells)).astype(np.int64), minlength=cells)
+            full = np.argsort(held, kind="stable")[b.spare :]
+            table, name = table[full], name[full]
         for c, choice in enumerate(b.choices):
             h = name + np.uint64(c)
             for piece in choice:
@@ -246,6 +258,10 @@ def _links(docs: DataFrame, feats: DataFrame, nodes: DataFrame, n: int, percent:
     """
     exploded = feats.where("sigs is not null").select(F.explode("sigs").alias("sig"), "a")
     shared = exploded.groupBy("sig").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("sig")
+    if percent < PERCENT:  # several times the signatures: where few are shared, the others are not shuffled once more
+        shared = materialize(shared)
+        if shared.count() <= BROADCAST_ROWS:
+            shared = F.broadcast(shared)
     members = materialize(exploded.join(shared, "sig", "left_semi").distinct())
     score = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).join(members, "sig").groupBy("a").agg(F.sum("m").alias("score"))
     known = materialize(score.join(nodes.groupBy("a").agg(F.first("n").alias("n"), F.min("_key").alias("_key")), "a"))

@@ -278,6 +278,18 @@ def test_similar_sets_share_a_signature():
                 assert set(jaccard_join.signatures(x).tolist()) & set(jaccard_join.signatures(y).tolist()), (size, swap, grow)
 
 
+def test_similar_sets_share_a_signature_at_80_percent():
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 4, 5, 9, 10, 30, 54, 100, 333, 1000):
+        for _ in range(6):
+            base = np.unique(rng.integers(0, 2**63, size + 400, dtype=np.uint64))
+            x = base[:size]
+            swap = next(d for d in range(size, -1, -1) if 100 * (size - d) >= 80 * (size + d))
+            grow = next(g for g in range(400, -1, -1) if 100 * size >= 80 * (size + g))
+            for y in (np.concatenate([x[swap:], base[size : size + swap]]), base[: size + grow]):
+                assert set(jaccard_join.signatures(x, percent=80).tolist()) & set(jaccard_join.signatures(y, percent=80).tolist()), (size, swap, grow)
+
+
 def test_keep_one_keeps_one_of_each(docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
@@ -584,6 +596,39 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == n
 
 
+def test_near_copy_stage_equals_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = []
+    for size in (14, 30, 58, 120, 310):
+        base = sentence(rng, size).split()
+        texts.append(" ".join(base))
+        for k in range(10):  # a run of changed words: similarities on both sides of 0.8
+            w, run = list(base), rng.randint(1, max(1, size // 12))
+            at = rng.randrange(size - run)
+            w[at : at + run] = [f"new{size}x{k}x{i}" for i in range(run)]
+            texts.append(" ".join(w))
+    exact = [f"word{i}" for i in range(58)]  # 54 windows; two changed words change six: 48 of 60
+    texts += [" ".join(exact), " ".join([*exact[:20], "p", "q", *exact[22:]])]
+    items = [(i * 37 % 1009, t) for i, t in enumerate(texts)]
+
+    def similarity(x, y, n):
+        x, y = sets_of(x, n), sets_of(y, n)
+        return len(x & y) / len(x | y)
+
+    links = {(i, j) for (i, x), (j, y) in itertools.combinations(items, 2) if 10 * len(sets_of(x, 5) & sets_of(y, 5)) >= 8 * len(sets_of(x, 5) | sets_of(y, 5))}
+    text = dict(items)
+    assert sum(similarity(text[i], text[j], 5) < 0.9 and similarity(text[i], text[j], 3) < 0.9 for i, j in links) > 5
+    assert similarity(texts[-1], texts[-2], 5) == 0.8
+    least = {i: i for i in text}
+    while any(least[i] != least[j] for i, j in links):
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(items, "doc_id bigint, text string").repartition(4), "")
+    assert sorted(r["doc_id"] for r in rows(kept)) == sorted(set(least.values())) != sorted(text)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
