@@ -21,7 +21,6 @@ from tapeloom.session import materialize
 
 from .common import WordHashes, batches, mixed, small_batches, texts_of
 
-MIN_WORDS = 4  # shorter lines repeat by chance and always stay
 EDIT_WORDS = 8  # shorter lines are removed only where they are equal
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
@@ -54,7 +53,7 @@ def _finish(raw: np.ndarray, n: np.ndarray, salt: int) -> np.ndarray:
 def _line_words(text: bytes | None) -> Iterator[tuple[int, list[bytes]]]:
     for k, line in enumerate((text or b"").split(b"\n")):
         words = line.split()
-        if len(words) >= MIN_WORDS:
+        if words:
             yield k, words
 
 
@@ -193,8 +192,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     goes if an earlier line, of the same or an earlier document, has the same words
     or (both with eight words or more) is one word edit away.  Earlier means a
     smaller doc_id (null last), then a smaller hash of the text, then an earlier
-    line.  Lines of fewer than four words stay.  Rows equal in doc_id and text count
-    as one document and get the same result.
+    line.  Lines without words stay.  Rows equal in doc_id and text count as one
+    document and get the same result.
 
     Occurrences of a line are counted before the shuffle, so a line that stands
     everywhere costs one row per task; keys of equal variants are reduced to their

@@ -576,9 +576,43 @@ def test_lines_with_edits_everywhere(spark):
     assert got == dict(brute_lines(items)) and 5 < len(got) < len(items)
 
 
+def test_equal_short_lines_go(spark):
+    rng = random.Random(12)
+    words = ["Les.", "One two", "a b c"]
+    items = [(i, "\n".join([rng.choice(words), "", sentence(rng, 10), f"own{i}", rng.choice(words)])) for i in range(9)]
+    items += [(20, items[4][1]), (21, "Les.\n" + items[5][1] + "\n  \none  two"), (None, "a b\tc\n \n")]
+    seen, want, left = set(), {}, {}
+    for i, text in items:
+        gone = []
+        for k, line in enumerate(text.split("\n")):
+            w = tuple(line.split())
+            if w in seen:
+                gone.append(k)
+            if w:
+                seen.add(w)
+        if gone:
+            want[i] = gone
+        left[i] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+    df = spark.createDataFrame(items, "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"]: r["lines"] for r in rows(line_dedup.removed_lines(df))} == want
+    # line 1 of the copies is empty: the exact copy leaves no document, whatever short lines it holds
+    assert {r["doc_id"]: r["text"] for r in rows(line_dedup.dedup(df))} == {i: t for i, t in left.items() if t.strip()} and 20 not in {i for i, t in left.items() if t.strip()}
+
+
 # pipeline
 
 
+def test_exact_copies_with_short_headings_leave_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    texts = [f"Chapter {i}\n{sentence(rng, 40)}\n{sentence(rng, 30)}\nThe end" for i in range(6)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id bigint, text string").repartition(3)
+    for stage in (corpus_pipeline.lines, corpus_pipeline.near_copies):
+        docs = stage(spark, docs, "")
+        assert sorted(r["doc_id"] for r in rows(docs)) == list(range(6))
+
+
 def test_pipeline_stages_follow_each_other(spark, tmp_path):
     import corpus_pipeline
 
