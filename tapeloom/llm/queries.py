@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard_join, language, line_dedup, mixing, quality_model, quality_rules, token_counts, url_filter
+from . import decontaminate, hard_negatives, html_text, jaccard_join, language, line_dedup, mixing, quality_model, quality_rules, token_counts, url_filter
 from .common import table
 
 RULES = [url_filter.Rule(t, v) for t, v in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
@@ -58,11 +58,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.query(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality_rules, op3_language_id, op4_ngram_jaccard_join, op5_token_counts, op6_html_extraction, op7_decontamination,
-        op8_quality_classifier, op9_mixing, op10_line_dedup,
+        op8_quality_classifier, op9_mixing, op10_line_dedup, op13_hard_negatives,
     )
 }
-ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL, "op13_hard_negatives": hard_negatives.SQL}
