@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, html_text, jaccard_join, language, line_dedup, mixing, quality_model, quality_rules, secrets, token_counts, url_filter
+from . import collocations, decontaminate, hard_negatives, html_text, jaccard_join, language, line_dedup, mixing, quality_model, quality_rules, secrets, token_counts, url_filter
 from .common import table
 
 RULES = [url_filter.Rule(t, v) for t, v in (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
@@ -62,6 +62,10 @@ def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.query(spark, sf_dir)
 
@@ -70,7 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_quality_rules, op3_language_id, op4_ngram_jaccard_join, op5_token_counts, op6_html_extraction, op7_decontamination,
-        op8_quality_classifier, op9_mixing, op10_line_dedup, op11_secret_scan, op13_hard_negatives,
+        op8_quality_classifier, op9_mixing, op10_line_dedup, op11_secret_scan, op12_phrase_collocations, op13_hard_negatives,
     )
 }
-ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL, "op13_hard_negatives": hard_negatives.SQL}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.SQL, "op12_phrase_collocations": collocations.SQL, "op13_hard_negatives": hard_negatives.SQL}
