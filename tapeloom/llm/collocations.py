@@ -31,7 +31,9 @@ TOP = 2000
 CHUNK = 60_000  # positions of a stored row; its words need 16 bits
 SHARD = 200_000  # phrases of a broadcast trie
 CACHE = 200_000  # words that a task counts before it hands their counts on
-TALLIES = 1 << 22  # extensions that a task holds before it sums them up
+TALLIES = 1 << 21  # extensions that a task sums up at once
+PROBES = 300_000  # cells that are looked at for a node before it goes to the end
+BLOCK = 4096  # counts that travel in one row
 
 #: A-Z lower-cased; what ends a piece becomes a full stop, which stands in no word.
 _NORMAL = bytes(0x2E if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -191,7 +193,7 @@ def _placed(parent: np.ndarray, code: np.ndarray, roots: int, width: int) -> tup
     """(base, cell) of each node, so that all children lie at their parent's base plus their code, no two in one cell.
 
     Nodes with more children are placed first, where a free cell fits the first child
-    and all others; single children then take what is free.  Roots are the first cells.
+    and all others, or behind all cells so far; single children then take what is free.  Roots are the first cells.
     """
     n = len(parent)
     base, cell = np.zeros(n, np.int64), np.arange(n)
@@ -200,12 +202,17 @@ def _placed(parent: np.ndarray, code: np.ndarray, roots: int, width: int) -> tup
     owners, first, sizes = np.unique(parent[order], return_index=True, return_counts=True)
     free = np.ones(2 * n + 4 * width, bool)
     free[:width] = False  # roots, and bases below 0
-    low = width
+    low = high = width
     for k in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())].tolist():
         own = order[first[k] : first[k] + sizes[k]]
         step = code[own] - code[own[0]]
-        look = low
+        look, tried = low, 0
         while True:
+            if tried * len(own) > PROBES:
+                fits = high  # nothing lies behind it
+                if fits + width > len(free):
+                    free = np.concatenate([free, np.ones(len(free), bool)])
+                break
             if look + 4096 + width > len(free):
                 free = np.concatenate([free, np.ones(len(free), bool)])
             open_ = np.flatnonzero(free[look : look + 4096]) + look
@@ -213,6 +220,7 @@ def _placed(parent: np.ndarray, code: np.ndarray, roots: int, width: int) -> tup
                 low += 4096
             fits = None
             for some in range(0, len(open_), 64):
+                tried += 64
                 good = free[open_[some : some + 64, None] + step].all(1)
                 if good.any():
                     fits = open_[some + int(good.argmax())]
@@ -222,6 +230,7 @@ def _placed(parent: np.ndarray, code: np.ndarray, roots: int, width: int) -> tup
             look += 4096
         cell[own] = fits + step
         free[cell[own]] = False
+        high = max(high, int(cell[own[-1]]) + 1)
         base[owners[k]] = fits - code[own[0]]
     single = np.flatnonzero(sizes == 1)
     while free.sum() < len(single):
@@ -264,11 +273,8 @@ def _extensions(codes: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
         def run(parts, shared=shared, alone=shards == 1):
             trie, names, held, size = shared.value, {}, [], 0
 
-            def tally():
-                keys, counts = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-                return keys, np.bincount(counts, np.concatenate([h[1] for h in held])).astype(np.int64)
-
-            def rows(keys, counts):
+            def rows():
+                keys, counts = np.unique(np.concatenate(held), return_counts=True)
                 hashes = np.fromiter(names, np.int64, len(names))
                 return pa.RecordBatch.from_arrays([pa.array(trie.ids[keys >> 32]), pa.array(hashes[keys & 0xFFFFFFFF]), pa.array(counts)], names=["id", "h", "count"])
 
@@ -284,18 +290,13 @@ def _extensions(codes: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
                     accepted[position] = True
                     follows &= accepted[position + 1]
                 number = np.fromiter((names.setdefault(h, len(names)) for h in uniq.tolist()), np.int64, len(uniq))
-                keys = phrase[follows] << 32 | number[padded[position[follows] + k]]
-                held.append((keys, np.ones(len(keys))))
-                size += len(keys)
+                held.append(phrase[follows] << 32 | number[padded[position[follows] + k]])
+                size += len(held[-1])
                 if size > TALLIES:
-                    held = [tally()]
-                    size = len(held[0][0])
-                    if size > TALLIES // 2:
-                        yield rows(*held[0])
-                        held, size = [], 0
-                        names.clear()
+                    yield rows()
+                    held, size, names = [], 0, {}
             if size:
-                yield rows(*tally())
+                yield rows()
 
         found.append(materialize(codes.mapInArrow(run, "id bigint, h bigint, count bigint")))
         shared.unpersist()
@@ -306,7 +307,10 @@ def _extensions(codes: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
 
 
 def _counts(codes: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(id, a): occurrences of phrases of any length, shard by shard."""
+    """(id, a): occurrences of phrases of any length, shard by shard.
+
+    A task counts all phrases of a shard; blocks of its counts are summed as they come.
+    """
     spark = codes.sparkSession
     found = []
     for trie, _ in _shards(phrases):
@@ -318,15 +322,25 @@ def _counts(codes: DataFrame, phrases: DataFrame) -> DataFrame:
             for lang, own, uniq, idx in _chunk_rows(parts):
                 for _, state in trie.advance(lang, uniq, idx, own):
                     total += np.bincount(trie.phrase[state] % len(total), minlength=len(total))
-            some = np.flatnonzero(total[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(trie.ids[some]), pa.array(total[some])], names=["id", "a"])
-
-        found.append(materialize(codes.mapInArrow(run, "id bigint, a bigint")))
+            blocks = [total[k : k + BLOCK] for k in range(0, len(trie.ids), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "counts"])
+
+        def add(parts, shared=shared):
+            ids, totals = shared.value.ids, {}
+            for b in batches(parts):
+                for block, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
+                    totals[block] = np.frombuffer(counts, np.int64) + totals.get(block, 0)
+            for block, total in totals.items():
+                own = ids[block * BLOCK : block * BLOCK + BLOCK]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[: len(own)])], names=["id", "a"])
+
+        tasks = codes.mapInArrow(run, "block int, counts binary")
+        found.append(materialize(tasks.repartition("block").mapInArrow(add, "id bigint, a bigint")))
         shared.unpersist()
     out = found[0]
     for more in found[1:]:
         out = out.unionAll(more)
-    return out.groupBy("id").agg(F.sum("a").alias("a"))
+    return out
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:

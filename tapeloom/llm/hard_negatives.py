@@ -157,7 +157,7 @@ class Anchors:
             slack += align[:, level] * (error[a] / root)
             last = np.maximum(np.abs(along) - error[a] / root, 0)
         slack += rest * np.sqrt(np.maximum(self.norm2[a][:, None] - last**2, 0))
-        return middle - slack, middle + slack
+        return np.minimum(middle - slack, MOST), np.maximum(middle + slack, LEAST)  # as scores end there
 
 
 def _rows(parts, width: int, words: int):
@@ -275,7 +275,8 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     """Hard negatives for each anchor (rows of ``vectors`` where ``anchor``, over vec_id, label, embedding, holds) and each of its positives.
 
     Scores are inner products of floor(scale * x); higher ones come first, ties by the
-    smaller id, null ids last.  An anchor's positives are its first rows of the same
+    smaller id, null ids last; beyond 64 bits they count as the largest or smallest number.
+    An anchor's positives are its first rows of the same
     label with another id (all, if fewer); a positive's negatives the first rows of
     another label whose score n satisfies low_percent * p <= 100 * n <= high_percent * p
     (none for p < 0).  Returns ``anchor_id``, ``positive_id``, ``rank``, ``negative_id``,
