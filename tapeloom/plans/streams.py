@@ -9,6 +9,7 @@ from ..operators import news as N
 from ..session import configure, work_dir
 from ..sources import tables as T
 from ..streaming import bars as X
+from ..streaming import epochs as E
 from .news import STATS
 from .registry import query, r6
 from .sql import VECTORS
@@ -18,7 +19,7 @@ def source(spark, sf, name, glob=None):
     configure(spark)
     path = f"{sf.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/{glob or name + '*.parquet'}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf.rstrip('/')}/{glob or name + '*.parquet'}")
 
 
 def tick_stream(spark, sf):
@@ -64,7 +65,8 @@ def x3(spark, sf):
     docs = source(spark, sf, "documents").select(
         F.concat_ws("/", "source", F.expr("doc_id div 3").cast("string")).alias("url"), F.timestamp_seconds(F.col("doc_id") * 60 + 1_000_000_000).alias("published_at")
     )
-    return finish(spark, X.stream_news(docs, "3650 days")).select("url")
+    base = work_dir(spark)
+    return E.run_news(docs, base, f"{base}/checkpoint").select("url")
 
 
 @query("X4_late_bars", """WITH e AS (SELECT event_type AS ticker, date_trunc('hour', ts) AS h, ts, event_id FROM events), l AS (SELECT ticker, h FROM e UNION ALL SELECT ticker, h FROM e WHERE ts < TIMESTAMP '2024-01-20' AND ts >= (SELECT max(ts) FROM e WHERE ts < TIMESTAMP '2024-01-20') - INTERVAL 5 HOUR)
@@ -100,7 +102,7 @@ def x5(spark, sf):
 
 
 EXITS = """e AS (SELECT event_type AS ticker, ts, value FROM events), p AS (SELECT event_id AS position_id, event_type AS ticker, ts AS entry_ts, CASE WHEN event_id % 2 = 0 THEN 'long' ELSE 'short' END AS direction, value * CASE WHEN event_id % 2 = 0 THEN 0.1::DOUBLE ELSE 4.0::DOUBLE END AS stop_loss, value * CASE WHEN event_id % 2 = 0 THEN 4.0::DOUBLE ELSE 0.1::DOUBLE END AS take_profit
-    FROM events WHERE user_id = 7),
+    FROM events),
   h AS (SELECT position_id, e.ts, CASE WHEN (direction = 'long' AND value <= stop_loss) OR (direction = 'short' AND value >= stop_loss) THEN 'stop_hit' WHEN (direction = 'long' AND value >= take_profit) OR (direction = 'short' AND value <= take_profit) THEN 'tp_hit' END AS exit_reason, stop_loss, take_profit FROM p JOIN e USING (ticker) WHERE e.ts > entry_ts),
   f AS (SELECT *, row_number() OVER (PARTITION BY position_id ORDER BY ts) AS r FROM h WHERE exit_reason IS NOT NULL)"""
 
@@ -108,12 +110,13 @@ EXITS = """e AS (SELECT event_type AS ticker, ts, value FROM events), p AS (SELE
 @query("X6_stream_exits", f"WITH {EXITS} SELECT position_id, ts, {r6('CASE WHEN exit_reason = $$stop_hit$$ THEN stop_loss ELSE take_profit END', 'exit_price')}, exit_reason FROM f WHERE r = 1".replace("$$", "'"))
 def x6(spark, sf):
     even = F.pmod("event_id", F.lit(2)) == 0
-    pos = T.table(spark, sf, "events").where("user_id = 7").select(
+    pos = T.table(spark, sf, "events").select(
         F.col("event_id").alias("position_id"), F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("entry_ts"), F.when(even, "long").otherwise("short").alias("direction"),
         (F.col("value") * F.when(even, 0.1).otherwise(4.0)).alias("stop_loss"), (F.col("value") * F.when(even, 4.0).otherwise(0.1)).alias("take_profit"),
     )
     bars = tick_stream(spark, sf).select("ticker", "ts", F.col("price").alias("high"), F.col("price").alias("low"))
-    out = finish(spark, X.stream_exits(bars, pos))
+    base = work_dir(spark)
+    out = E.run_exits(bars, pos, base, f"{base}/checkpoint")
     return rounded(ntz(out, "ts"))
 
 
@@ -137,5 +140,6 @@ def x8(spark, sf):
 @query("X9_stream_ema", f"""WITH RECURSIVE num AS (SELECT event_type AS ticker, ts, event_id AS seq, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t FROM events),
   ema AS (SELECT ticker, ts, seq, t, CAST(value AS DOUBLE) AS ema FROM num WHERE t = 0 UNION ALL SELECT n.ticker, n.ts, n.seq, n.t, {1 - 2 / 13!r}::DOUBLE * e.ema + {2 / 13!r}::DOUBLE * n.value FROM ema e JOIN num n ON n.ticker = e.ticker AND n.t = e.t + 1) SELECT ticker, ts, seq, {r6('ema', 'ema')} FROM ema""")
 def x9(spark, sf):
-    out = finish(spark, X.stream_ema(tick_stream(spark, sf).withColumnRenamed("price", "close"), 12, seq="event_id"))
+    base = work_dir(spark)
+    out = E.run_ema(tick_stream(spark, sf).withColumnRenamed("price", "close"), base, f"{base}/checkpoint", 12, seq="event_id")
     return rounded(ntz(out, "ts"))

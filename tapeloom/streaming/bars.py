@@ -3,14 +3,9 @@ event times are ``timestamp`` columns."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
-from ..functions.scan import span_alpha
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything the source has now into Parquet, then stop.
@@ -39,7 +34,7 @@ def stream_ohlcv(ticks: DataFrame, size: str = "1 minute", slide: str | None = N
 
 
 def stream_news(src: DataFrame, delay: str = "2 days", url: str = "url", ts: str = "published_at") -> DataFrame:
-    """One row per URL."""
+    """One row per URL inside the delay; :func:`tapeloom.streaming.epochs.run_news` also remembers older ones."""
     return src.withWatermark(ts, delay).dropDuplicatesWithinWatermark([url])
 
 
@@ -49,42 +44,6 @@ def stream_enrich(bars: DataFrame, daily: DataFrame, lag_days: int = 1, key: str
     return bars.join(static, [key, date], "left")
 
 
-def _first_hit(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The earliest hit of a position; the state remembers that it is closed."""
-    if state.exists:
-        return
-    best = None
-    for chunk in chunks:  # chunks of the group, never the whole of it
-        first = chunk.loc[chunk["ts"].idxmin()]
-        if best is None or first["ts"] < best["ts"]:
-            best = first
-    if best is not None:
-        state.update((True,))
-        yield pd.DataFrame({"position_id": [key[0]], "ts": [best["ts"]], "exit_price": [best["exit_price"]], "exit_reason": [best["exit_reason"]]})
-
-
-def stream_exits(bars: DataFrame, positions: DataFrame, key: str = "ticker", ts: str = "ts") -> DataFrame:
-    """The first bar that touches the stop or the target of each open position.
-
-    ``positions`` (position_id, ticker, entry_ts, direction, stop_loss,
-    take_profit).  A bar that touches both counts as stopped.  Bars that touch
-    nothing are filtered before the state.
-    """
-    p = positions.select("position_id", key, "entry_ts", "direction", "stop_loss", "take_profit")
-    j = bars.join(p, key).where(F.col(ts) > F.col("entry_ts"))
-    long = F.col("direction") == "long"
-    stop = F.when(long, F.col("low") <= F.col("stop_loss")).otherwise(F.col("high") >= F.col("stop_loss"))
-    goal = F.when(long, F.col("high") >= F.col("take_profit")).otherwise(F.col("low") <= F.col("take_profit"))
-    hits = j.select(
-        "position_id", F.col(ts).alias("ts"),
-        F.when(stop, F.col("stop_loss")).when(goal, F.col("take_profit")).alias("exit_price"),
-        F.when(stop, "stop_hit").when(goal, "tp_hit").alias("exit_reason"),
-    ).where("exit_reason IS NOT NULL")
-    return hits.groupBy("position_id").applyInPandasWithState(
-        _first_hit, "position_id bigint, ts timestamp, exit_price double, exit_reason string", "closed boolean", "append", "NoTimeout"
-    )
-
-
 def stream_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes", key: str = "ticker", ts: str = "ts", value: str = "price") -> DataFrame:
     """Activity sessions of a key: closed by a pause longer than ``gap``."""
     g = events.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
@@ -102,34 +61,6 @@ def stream_quality(bars: DataFrame, size: str = "1 hour", delay: str = "10 minut
     return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_rows", "n_null", "n_inverted", "n_empty")
 
 
-def _ema_step(alpha: float):
-    """Continue a ticker's average from its last value."""
-
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # one ticker's new bars of one micro-batch: bounded by the source's rate limit
-        new = pd.concat(list(chunks), ignore_index=True).sort_values(["ts", "seq"])
-        x = new["x"]
-        if state.exists:
-            x = pd.concat([pd.Series([state.get[0]]), x], ignore_index=True)
-        ema = x.ewm(alpha=alpha, adjust=False).mean().iloc[-len(new):]
-        state.update((float(ema.iloc[-1]),))
-        yield pd.DataFrame({"ticker": key[0], "ts": new["ts"].to_numpy(), "seq": new["seq"].to_numpy(), "ema": ema.to_numpy()})
-
-    return step
-
-
-def stream_ema(bars: DataFrame, span: float = 12, c: str = "close", key: str = "ticker", ts: str = "ts", seq: str | None = None) -> DataFrame:
-    """Exponential average per ticker carried over micro-batches.
-
-    Bars of a ticker must arrive in time order from batch to batch; inside a
-    batch they are sorted by (ts, seq).
-    """
-    src = bars.select(F.col(key).alias("ticker"), F.col(ts).alias("ts"), (F.col(seq) if seq else F.lit(0)).cast("bigint").alias("seq"), F.col(c).cast("double").alias("x"))
-    return src.groupBy("ticker").applyInPandasWithState(
-        _ema_step(span_alpha(span)), "ticker string, ts timestamp, seq bigint, ema double", "value double", "append", "NoTimeout"
-    )
-
-
 def refresh_daily(src: DataFrame, path: str, checkpoint: str, build) -> None:
     """Continuous refresh: run a batch operator on every micro-batch and append its rows."""
 
