@@ -159,13 +159,13 @@ def s12(spark, sf):
     return j.select("ticker", "run_id", "direction", "entry_price", F.col("regime_features")["vol"].alias("vol"))
 
 
-@query("S13_write_features", f"WITH {BARS} SELECT ticker, date, {r6('CASE WHEN year(date) = 1998 THEN close * 2 ELSE close END', 'close', 8)}, CAST(year(date) AS INTEGER) AS year FROM bars")
+@query("S13_write_features", f"WITH {BARS} SELECT ticker, date, {r6("CASE WHEN year(date) = 1998 AND ticker LIKE '%7' THEN close * 2 ELSE close END", 'close', 8)}, CAST(year(date) AS INTEGER) AS year FROM bars")
 def s13(spark, sf):
     path = work_dir(spark) + "/features"
     df = T.bars_daily(spark, sf).select("ticker", "date", "close")
     B.write_features(df, path)
-    # rebuild one stale year; the others stay as they are
-    B.write_features(df.where(F.year("date") == 1998).withColumn("close", F.col("close") * 2), path)
+    # rebuild one year of some tickers; the other tickers of that year and all other years stay as they are
+    B.write_features(df.where("year(date) = 1998 AND ticker LIKE '%7'").withColumn("close", F.col("close") * 2), path)
     return rounded(spark.read.parquet(path).select("ticker", "date", "close", "year"), 8)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.core import col
+from ..session import materialize
 
 DAILY_SCHEMA = T.StructType(
     [
@@ -223,13 +224,67 @@ def read_snapshot(spark: SparkSession, path: str, date: str | None = None, colum
     return df.join(F.broadcast(latest), column, "left_semi")
 
 
-def write_features(df: DataFrame, path: str, by: str = "year", date: str = "date") -> None:
-    """Parquet partitioned by year, overwriting only the years present in ``df``.
+FINGERPRINTS = "year int, bucket int, ticker string, n bigint, h decimal(38,0), buckets int"
 
-    Rebalancing lets Spark size the files at run time: a large year is split over
-    many tasks, small ones share a task.
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_features(df: DataFrame, path: str, date: str = "date", key: str = "ticker", buckets: int = 16) -> int:
+    """Bring the feature table at ``path`` up to date with ``df``; returns the number of partitions written.
+
+    The table is Parquet partitioned by year and a bucket of the ticker's hash.  The
+    rows of a (ticker, year) in ``df`` replace those in the table; all other tickers
+    and years stay.  A fingerprint of each (ticker, year), its row count and the sum of
+    its rows' hashes, lies beside the table (``{path}.fingerprints``): partitions whose
+    tickers all have the fingerprint that they had are not written, so a second run
+    without changes writes nothing.  What stays of a rewritten partition is merged
+    before anything is overwritten, and fingerprints come after the rows: a run that
+    fails in between is made good by repeating it.
+
+    ``buckets`` holds from the first write on.  Rows without ticker or date raise; an
+    empty ``df`` changes nothing.
     """
-    out = df if by in df.columns else df.withColumn(by, F.year(date))
-    out.hint("rebalance", F.col(by)).sortWithinPartitions("ticker", date).write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    spark = df.sparkSession
+    marks = path.rstrip("/") + ".fingerprints"
+    known = _exists(spark, marks)
+    if known:
+        stored = spark.read.schema(FINGERPRINTS).parquet(marks)
+        row = stored.select("buckets").first()
+        buckets = row[0] if row else buckets
+    else:
+        stored = spark.createDataFrame([], FINGERPRINTS)
+    whole = F.col(key).isNotNull() & F.col(date).isNotNull()
+    checked = df.where(F.when(whole, True).otherwise(F.raise_error(F.lit("feature rows need a ticker and a date")).cast("boolean")))
+    columns = [c for c in df.columns if c not in ("year", "bucket")]
+    new = checked.select(*columns, F.year(date).alias("year"), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int").alias("bucket"))
+
+    def fingerprints(rows: DataFrame) -> DataFrame:
+        h = F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h")
+        return rows.groupBy("year", "bucket", F.col(key).cast("string").alias("ticker")).agg(F.count(F.lit(1)).alias("n"), h)
+
+    fresh = materialize(fingerprints(new))
+    was = stored.select("year", "bucket", "ticker", F.col("n").alias("__n"), F.col("h").alias("__h"))
+    changed = fresh.join(was, ["year", "bucket", "ticker"], "left").where(~(F.col("n").eqNullSafe(F.col("__n")) & F.col("h").eqNullSafe(F.col("__h"))))
+    touched = materialize(changed.select("year", "bucket").distinct())
+    count = touched.count()
+    if not count:
+        return 0
+    merged = new.join(touched, ["year", "bucket"], "left_semi")
+    stays = stored.join(touched, ["year", "bucket"], "left_semi").join(fresh, ["year", "bucket", "ticker"], "left_anti")
+    if known:
+        old = spark.read.schema(new.schema).parquet(path).withColumn("__ticker", F.col(key).cast("string"))
+        keep = stays.select("year", "bucket", F.col("ticker").alias("__ticker"))
+        merged = merged.unionByName(old.join(keep, ["year", "bucket", "__ticker"], "left_semi").drop("__ticker").select(*new.columns))
+    merged = materialize(merged)
+
+    def overwrite(rows: DataFrame, where: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "bucket").parquet(where)
+
+    # Spark sizes the files at run time: a large partition is split over many tasks, small ones share one
+    overwrite(merged.hint("rebalance", F.col("year"), F.col("bucket")).sortWithinPartitions(key, date), path)
+    marked = fresh.join(touched, ["year", "bucket"], "left_semi").unionByName(stays.select(*fresh.columns))
+    overwrite(materialize(marked).withColumn("buckets", F.lit(buckets)).repartition("year", "bucket"), marks)
+    return count
