@@ -317,31 +317,6 @@ def neighbor_mean(values: DataFrame, edges: DataFrame, value: str, key: str = "t
     return j.join(sums, "dst", "left").withColumn(out, F.coalesce("__m", F.col(value))).drop("dst", "__m")
 
 
-def similarity_edges(vectors: DataFrame, threshold: float = 0.3, batch: str = "batch", ident: str = "vec_id", embedding: str = "embedding",
-                     max_batch: int = 64) -> DataFrame:
-    """Ordered pairs of one batch whose cosine similarity exceeds the threshold.
-
-    Batches have a fixed small size (checked: a larger one raises), so the pairs
-    grow with the number of vectors.  A batch without such a pair is linked as a ring.
-    """
-    norm = F.sqrt(F.aggregate(F.col(embedding), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = vectors.select(batch, ident, F.transform(embedding, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12))).alias("__u"))
-    size = F.count(F.lit(1)).over(Window.partitionBy(batch))
-    place = F.row_number().over(Window.partitionBy(batch).orderBy(ident)) - 1
-    unit = unit.withColumns({"__n": size, "__i": place})
-    too_large = F.raise_error(F.lit(f"a batch holds more than {max_batch} vectors")).cast("boolean")
-    unit = unit.where(F.when(F.col("__n") <= max_batch, True).otherwise(too_large))
-    a = unit.select(batch, F.col(ident).alias("src"), F.col("__u").alias("__a"), "__n", "__i")
-    b = unit.select(batch, F.col(ident).alias("dst"), F.col("__u").alias("__b"))
-    dot = F.aggregate(F.zip_with("__a", "__b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, batch).where(F.col("src") != F.col("dst")).withColumn("similarity", dot).where(F.col("similarity") > threshold)
-    edges = pairs.select(batch, "src", "dst", "similarity", F.lit("similar").alias("kind"))
-    lonely = a.join(edges.select(batch).distinct(), batch, "left_anti")
-    nxt = lonely.select(batch, F.col("src").alias("dst"), F.pmod(F.col("__i") - 1, F.col("__n")).alias("__i"))
-    ring = lonely.join(nxt, [batch, "__i"]).select(batch, "src", "dst", F.lit(None).cast("double").alias("similarity"), F.lit("ring").alias("kind"))
-    return edges.unionByName(ring)
-
-
 def cross_section(features: DataFrame, cols: list[str], target: str = "target", min_tickers: int = 10, date: str = "date", key: str = "ticker") -> DataFrame:
     """Snapshot rows of the dates with at least ``min_tickers`` targets, as float vectors.
 

@@ -8,6 +8,7 @@ from ..functions.core import rounded
 from ..operators import fundamentals as U
 from ..operators import news as N
 from ..operators import regime as R
+from ..operators import similarity as S
 from ..sources import tables as T
 from .metrics import PREDS, predictions
 from .news import ND
@@ -227,13 +228,12 @@ def r13_mean(spark, sf):
     return rounded(R.neighbor_mean(v, R.sector_edges(T.sectors(spark, sf)), "s_acctbal").select("ticker", "neighbor_mean"), 4)
 
 
-@query("R14_similarity_edges", f"""WITH v AS (SELECT vec_id // 64 AS batch, vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.batch, a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.e, b.e) AS similarity FROM v a JOIN v b ON a.batch = b.batch AND a.vec_id <> b.vec_id),
-  s AS (SELECT batch, src, dst, similarity, 'similar' AS kind FROM p WHERE similarity > 0.25), l AS (SELECT * FROM v WHERE batch NOT IN (SELECT batch FROM s)),
-  n AS (SELECT batch, vec_id, coalesce(lead(vec_id) OVER (PARTITION BY batch ORDER BY vec_id), min(vec_id) OVER (PARTITION BY batch)) AS nx FROM l)
-  SELECT batch, src, dst, {r6('similarity', 'similarity')}, kind FROM s UNION ALL SELECT batch, vec_id, nx, NULL, 'ring' FROM n""")
+@query("R14_similarity_edges", f"""WITH v AS (SELECT embedding::DOUBLE[] AS e, min(vec_id) AS id FROM embeddings GROUP BY ALL), c AS (SELECT vec_id AS src, id AS dst FROM embeddings JOIN v ON v.e = embedding::DOUBLE[] WHERE vec_id <> id),
+  s AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.e, b.e) AS similarity FROM v a JOIN v b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) > 0.3)
+  SELECT 'all' AS batch, src, dst, {r6('similarity', 'similarity')}, 'similar' AS kind FROM s UNION ALL SELECT 'all', src, dst, 1.0, 'copy' FROM c""")
 def r14(spark, sf):
-    v = T.table(spark, sf, "embeddings").withColumn("batch", F.expr("vec_id div 64"))
-    return rounded(R.similarity_edges(v, 0.25))
+    v = T.table(spark, sf, "embeddings").withColumn("batch", F.lit("all"))
+    return rounded(S.similarity_edges(v, 0.3, recall=0.9999))
 
 
 @query("R15_cross_section", f"""WITH {PREDS}, n AS (SELECT date, count(*) AS n_tickers FROM preds GROUP BY date HAVING count(*) >= 25) SELECT date, ticker, {scaled_sql('[CAST(round(ret5, 4) AS FLOAT), CAST(round(rev1, 4) AS FLOAT)]', 'node_features', 4)}, {r6('target', 'target')}, n_tickers FROM preds JOIN n USING (date)""")

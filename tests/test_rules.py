@@ -95,12 +95,6 @@ def test_hub_graph_equals_all_pairs(spark):
     assert {r["ticker"]: r["neighbor_mean"] for r in R.neighbor_mean(v, e, "v").collect()} == {"A": 3.0, "B": 3.0, "C": 3.0, "D": 5.0, "E": 7.0}
 
 
-def test_oversized_similarity_batch_raises(spark):
-    df = spark.range(70).select(F.lit(0).alias("batch"), F.col("id").alias("vec_id"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
-    with pytest.raises(Exception, match="more than 64"):
-        R.similarity_edges(df).collect()
-
-
 def test_formula_rejects_unknown_names(spark):
     for bad in ("reflect('java.lang.System', 'exit')", "close; 1", "secret + 1", "raise_error(1)"):
         with pytest.raises(ValueError):
