@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,15 +58,43 @@ def work_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tapeloom-")
 
 
+_steps = threading.local()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table that several branches of a plan read, and read it back.
 
     The table lies on shared storage (see :func:`work_dir`), so it outlives an
     executor, and the branches neither repeat nor carry the work behind it.
     """
-    path = work_dir(df.sparkSession) + "/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = work_dir(df.sparkSession)
+    df.write.parquet(folder + "/table")
+    for made in getattr(_steps, "open", [])[-1:]:
+        made.append(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder + "/table")
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written inside the block are deleted at its end, but for those put on the list.
+
+    What is put there has to be a materialized table: a lazy result would read what is gone.
+    """
+    stack = _steps.__dict__.setdefault("open", [])
+    made: list[str] = []
+    kept: list[DataFrame] = []
+    stack.append(made)
+    try:
+        yield kept
+    finally:
+        stack.pop()
+        files = [f for df in kept for f in df.inputFiles()]
+        stay = [folder for folder in made if any(folder.rsplit("/", 1)[-1] in f for f in files)]
+        for folder in made:
+            if folder not in stay:
+                remove(spark, folder)
+        for outer in stack[-1:]:
+            outer += stay
 
 
 def remove(spark: SparkSession, path: str) -> None:
