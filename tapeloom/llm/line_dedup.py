@@ -1,10 +1,12 @@
 """Line dedup by a deletion-neighbourhood join: near-equal lines share a line with one word left out.
 
 Lines are compared as sequences of words; the edit bound is one word inserted, left
-out or replaced.  Two such lines agree in the left or the right half, so hashes of
-halves show first which lines can have a partner at all; only those emit their
-deletion variants as hashed keys.  Equal variants are joined, the edit distance is
-verified on the words, and the earliest line stays.
+out or replaced, in lines of four words or more (in shorter ones a word is more than a
+quarter of the line; all lines of one word would be alike).  Two such lines agree in
+the left or the right half, so hashes of halves show first which lines can have a
+partner at all.  Only those emit their deletion variants as hashed keys, and only of
+the half that is not shared, where the edit must lie.  Equal variants are joined, the
+edit distance is verified on the words, and the earliest line stays.
 """
 
 from __future__ import annotations
@@ -13,17 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.session import materialize
+from tapeloom.session import materialize, steps
 
-from .common import WordHashes, batches, mixed, small_batches, texts_of
+from .common import WordHashes, batches, free_names, mixed, small_batches, texts_of
 
-EDIT_WORDS = 8  # shorter lines are removed only where they are equal
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_MASK = (1 << 64) - 1
+EDIT_WORDS = 4  # in shorter lines the bound is no edit
+_BASE = 0x9E3779B97F4A7C15
+_HALF = 1 << 63
 
 
 class Segments:
@@ -62,37 +65,30 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     With q words in the shorter of two lines within the bound, the first or the last
     q // 2 words of both are equal; a line of n words has to offer q = n and n - 1.
+    The lowest bit of a key tells the left half from the right.
     """
     schema = T.StructType([docs.schema["doc_id"], T.StructField("_key", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("halves", T.ArrayType(T.LongType()))])
+    whole, part = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_intdigest
 
     def run(parts):
-        hashes = WordHashes()
         for batch in batches(parts):
-            row, line, words, size = [], [], [], []
+            row, line, a, b, halves = [], [], [], [], []
             for r, text in enumerate(texts_of(batch.column("text"))):
-                for k, w in _line_words(text):
+                for k, words in _line_words(text):
+                    digest = whole(b" ".join(words))
                     row.append(r)
                     line.append(k)
-                    size.append(len(w))
-                    words += w
-            n = np.array(size, np.int64)
-            end = np.cumsum(n)
-            start = end - n
-            h = hashes(words)
-            one, two = (Segments(h, base) for base in _BASES)
-            a, b = _finish(one.raw(start, end), n, 1), _finish(two.raw(start, end), n, 2)
-            long = np.flatnonzero(n >= EDIT_WORDS)
-            s, e, m = start[long], end[long], n[long]
-            keys, of = [], []
-            for cut, which in (((m // 2), np.ones(len(long), bool)), ((m - 1) // 2, m % 2 == 0)):
-                keys += [_finish(one.raw(s, s + cut), cut, 3)[which], _finish(one.raw(e - cut, e), cut, 4)[which]]
-                of += [long[which]] * 2
-            of, keys = np.concatenate(of), np.concatenate(keys)
-            order = np.argsort(of, kind="stable")
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(n)))]).astype(np.int32)
+                    a.append((digest & (2**64 - 1)) - _HALF)
+                    b.append((digest >> 64) - _HALF)
+                    keys = []
+                    n = len(words)
+                    if n >= EDIT_WORDS:
+                        for cut in {n // 2, (n - 1) // 2}:
+                            keys += [(part(b" ".join(words[:cut])) >> 2) * 2, (part(b" ".join(words[n - cut :])) >> 2) * 2 + 1]
+                    halves.append(keys)
             pick = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").take(pick), batch.column("_key").take(pick), pa.array(line, pa.int32()), pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order])),
+                batch.column("doc_id").take(pick), batch.column("_key").take(pick), pa.array(line, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(halves, pa.list_(pa.int64())),
             ], names=schema.names)
 
     return docs.select("doc_id", _key().alias("_key"), "text").mapInArrow(run, schema)
@@ -107,23 +103,25 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_key").alias("key"), F.col("line").alias("line"))
 
 
-def variants(words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, kinds) of a line.  Kind 0: all but word i, and i; kind 1: the whole line; kind 2: all but word i.
+def variants(hashes: np.ndarray, left: bool = True, right: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, kinds) of a line of word hashes.  Kind 0: all but word i, and i; kind 1: the whole line; kind 2: all but word i.
 
     Lines of one kind-0 key differ in one word at the same place.  A kind-2 line is a
-    kind-1 line of the same key with one word more.
+    kind-1 line of the same key with one word more.  ``left`` and ``right`` tell which
+    halves the line shares with another: words of a shared half are not left out, as
+    the edit lies behind (or before) it.  Of a run of equal words any may be left out,
+    so one behind the half is.
     """
-    n = len(words)
-    at = np.arange(n)
-    seg = Segments(hashes, _BASES[0])
-    left_out = seg.without(np.zeros(n, np.int64), np.full(n, n), at)
+    n = len(hashes)
+    half = (n - 1) // 2
+    at = np.unique(np.concatenate([np.arange(half, n) if left else np.zeros(0, np.int64), np.arange(n - half) if right else np.zeros(0, np.int64)]))
+    seg = Segments(hashes, _BASE)
+    left_out = seg.without(np.zeros(len(at), np.int64), np.full(len(at), n), at)
     whole = seg.raw(np.array([0]), np.array([n]))
-    same = _finish(left_out + mixed(at.astype(np.uint64)), np.full(n, n), 5)
-    gone = _finish(left_out, np.full(n, n - 1), 6)
-    if n > 1:  # leaving out either of two equal neighbours gives the same line
-        gone = np.unique(gone)
+    same = _finish(left_out + mixed(at.astype(np.uint64)), np.full(len(at), n), 5)
+    gone = np.unique(_finish(left_out, np.full(len(at), n - 1), 6))
     own = _finish(whole, np.array([n]), 6)
-    return np.concatenate([same, own, gone]), np.repeat([0, 1, 2], [n, 1, len(gone)])
+    return np.concatenate([same, own, gone]), np.repeat([0, 1, 2], [len(same), 1, len(gone)])
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -138,17 +136,35 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
+def near(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether two lines are within the edit bound of both."""
+    return within_one(a, b) if min(len(a), len(b)) >= EDIT_WORDS else a == b
+
+
 def _suspect_lines(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
-    """(a, b, place, text) of distinct lines that share a half with a different line."""
+    """(a, b, place, left, right, text) of distinct lines that share a half, left or right, with a different line."""
     halves = lines.select("a", "b", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("half")
-    ids = halves.join(shared, "half", "left_semi").groupBy("a", "b").agg(F.lit(1).alias("_one")).drop("_one")
-    at = first.join(ids, ["a", "b"]).select("a", "b", "place", F.col("place.key").alias("_key"), F.col("place.line").alias("_line"))
+    right = F.col("half") % 2 != 0
+    ids = halves.join(shared, "half", "left_semi").groupBy("a", "b").agg(F.bool_or(~right).alias("left"), F.bool_or(right).alias("right"))
+    at = first.join(ids, ["a", "b"]).select("a", "b", "place", "left", "right", F.col("place.key").alias("_key"), F.col("place.line").alias("_line"))
     # Equal (doc_id, text) rows hold the same lines: any of them will do, and the id itself need not match.
-    wanted = at.groupBy("_key").agg(F.collect_list(F.struct("a", "b", "place", "_line")).alias("_wanted"))  # at most the lines of one text
-    rows = docs.select(_key().alias("_key"), "text").join(wanted, "_key")
-    each = rows.select("text", F.explode("_wanted").alias("w")).select("w.a", "w.b", "w.place", F.element_at(F.split("text", "\n"), F.col("w._line") + 1).alias("text"))
-    return each.groupBy("a", "b").agg(F.min("place").alias("place"), F.min("text").alias("text"))
+    wanted = at.groupBy("_key").agg(F.collect_list(F.struct("a", "b", "place", "left", "right", "_line")).alias("_wanted"))  # at most the lines of one text
+    names = ["a", "b", "place", "left", "right"]
+
+    def run(parts):
+        for batch in batches(parts):
+            column = batch.column("_wanted")
+            rows, texts = column.flatten(), []
+            place = iter(rows.field("_line").to_pylist())
+            for text, n in zip(texts_of(batch.column("text")), column.value_lengths().to_pylist()):
+                pieces = text.split(b"\n")
+                texts += [pieces[next(place)] for _ in range(n)]
+            yield pa.RecordBatch.from_arrays([*[rows.field(c) for c in names], pa.array(texts, pa.binary()).cast(pa.string())], names=[*names, "text"])
+
+    schema = T.StructType([*[at.schema[c] for c in names], T.StructField("text", T.StringType())])
+    each = docs.select(_key().alias("_key"), "text").join(wanted, "_key").select("text", "_wanted").mapInArrow(run, schema)
+    return each.groupBy("a", "b").agg(F.min("place").alias("place"), F.bool_or("left").alias("left"), F.bool_or("right").alias("right"), F.min("text").alias("text"))
 
 
 def _edit_links(suspects: DataFrame) -> DataFrame:
@@ -159,16 +175,16 @@ def _edit_links(suspects: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for batch in batches(parts):
             keys, kinds, count = [], [], []
-            for text in texts_of(batch.column("text")):
-                words = text.split()
-                k, kind = variants(words, hashes(words))
+            for text, left, right in zip(texts_of(batch.column("text")), batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                k, kind = variants(hashes(text.split()), left, right)
                 keys.append(k)
                 kinds.append(kind)
                 count.append(len(k))
             pick = pa.array(np.repeat(np.arange(len(count)), count))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pick), batch.column("b").take(pick), pa.array(np.concatenate(keys)), pa.array(np.concatenate(kinds).astype(np.int32))], names=["a", "b", "k", "kind"])
 
-    emitted = suspects.select("a", "b", "text").mapInArrow(emit, schema)
+    # dealt anew: suspects are few, but each makes many rows
+    emitted = materialize(suspects.select("a", "b", "left", "right", "text").repartition("a", "b").mapInArrow(emit, schema))
     shared = emitted.groupBy("k").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("k")
     members = materialize(emitted.join(shared, "k", "left_semi").join(suspects.select("a", "b", "place"), ["a", "b"]))
     groups = members.groupBy("k").agg(*[F.min(F.when(F.col("kind") == kind, F.struct("place", "a", "b"))).alias(f"best{kind}") for kind in (0, 1, 2)])
@@ -177,9 +193,10 @@ def _edit_links(suspects: DataFrame) -> DataFrame:
     pairs = linked.select("a", "b", F.col("p.a").alias("pa"), F.col("p.b").alias("pb")).distinct()
     mine, other = suspects.select("a", "b", "text"), suspects.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("text").alias("other"))
     texts = pairs.join(mine, ["a", "b"]).join(other, ["pa", "pb"]).select("a", "b", "text", "other")
+
     def verify(parts):
         for batch in batches(parts):
-            good = [within_one(x.split(), y.split()) for x, y in zip(texts_of(batch.column("text")), texts_of(batch.column("other")))]
+            good = [near(x.split(), y.split()) for x, y in zip(texts_of(batch.column("text")), texts_of(batch.column("other")))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return texts.mapInArrow(verify, "a bigint, b bigint").distinct()
@@ -190,7 +207,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     Lines are parts of a text between line feeds, compared by their words.  A line
     goes if an earlier line, of the same or an earlier document, has the same words
-    or (both with eight words or more) is one word edit away.  Earlier means a
+    or (both with four words or more) is one word edit away.  Earlier means a
     smaller doc_id (null last), then a smaller hash of the text, then an earlier
     line.  Lines without words stay.  Rows equal in doc_id and text count as one
     document and get the same result.
@@ -211,10 +228,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))  # at most the lines of one text
 
 
-def _joined(docs: DataFrame, extra: list[Column], gone: DataFrame) -> DataFrame:
-    left = docs.select(*[F.col(f"`{c}`") for c in docs.columns], _key().alias("_line_key"), *extra)
-    right = gone.select(F.col("_key").alias("_line_key2"), F.col("doc_id").alias("_line_doc"), F.col("lines").alias("_gone"))
-    return left.join(right, (F.col("_line_key") == F.col("_line_key2")) & F.col("doc_id").eqNullSafe(F.col("_line_doc")), "left")
+def removed(docs: DataFrame) -> DataFrame:
+    """:func:`removed_lines` as a table of its own; those written on the way are gone."""
+    with steps(docs.sparkSession) as kept:
+        kept.append(materialize(removed_lines(docs)))
+    return kept[0]
+
+
+def _joined(docs: DataFrame, gone: DataFrame, extra: list[Column]) -> tuple[DataFrame, str]:
+    """``docs`` with ``extra`` columns and the numbers of removed lines (null: none), and the name of those."""
+    key, key2, doc2, lines = free_names(docs, "_line_key", "_line_key2", "_line_doc", "_gone")
+    left = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *extra, _key().alias(key))
+    right = gone.select(F.col("_key").alias(key2), F.col("doc_id").alias(doc2), F.col("lines").alias(lines))
+    return left.join(right, (F.col(key) == F.col(key2)) & F.col("doc_id").eqNullSafe(F.col(doc2)), "left").drop(key, key2, doc2), lines
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -223,17 +249,27 @@ def dedup(docs: DataFrame) -> DataFrame:
     A text that loses all its lines goes as a document; one without removed lines,
     null and empty ones included, is kept as it is.
     """
-    joined = _joined(docs, [], materialize(removed_lines(docs)))
-    parts = F.split("text", "\n", -1)
-    left = F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    kept = joined.withColumn("_text", text).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    joined, lines = _joined(docs, removed(docs), [])
+
+    def run(parts):
+        for batch in batches(parts):
+            at = batch.schema.get_field_index("text")
+            texts, stays = [], []
+            for text, gone in zip(texts_of(batch.column(at)), batch.column(lines).to_pylist()):
+                if gone is not None:
+                    gone = set(gone)
+                    text = b"\n".join(x for k, x in enumerate(text.split(b"\n")) if k not in gone)
+                stays.append(gone is None or bool(text.split()))
+                texts.append(text)
+            field = batch.schema.field(at)
+            out = batch.set_column(at, field, pa.array(texts, pa.binary()).cast(field.type))
+            yield out.select([c for c in batch.schema.names if c != lines]).filter(pa.array(stays, pa.bool_()))
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document ``doc_id``, ``n_lines`` (parts between line feeds; null text: 0), ``n_removed`` and ``removed``, the line numbers joined by commas."""
-    slim = docs.select("doc_id", _key().alias("_line_key"), F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
-    right = removed_lines(docs).select(F.col("_key").alias("_line_key2"), F.col("doc_id").alias("_line_doc"), F.col("lines").alias("_gone"))
-    joined = slim.join(right, (F.col("_line_key") == F.col("_line_key2")) & F.col("doc_id").eqNullSafe(F.col("_line_doc")), "left")
-    return joined.select("doc_id", "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("_gone", ","), F.lit("")).alias("removed"))
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    joined, gone = _joined(docs.select("doc_id", "text"), removed(docs), [n_lines.alias("n_lines")])
+    return joined.select("doc_id", "n_lines", F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(gone, ","), F.lit("")).alias("removed"))

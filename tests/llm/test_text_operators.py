@@ -514,9 +514,9 @@ def brute_lines(items):
     for place, text in items:
         for k, line in enumerate((text or "").split("\n")):
             w = line.encode().split()
-            if len(w) < 4:
+            if not w:
                 continue
-            if any(v == w or len(v) >= 8 and len(w) >= 8 and line_dedup.within_one(v, w) for v in earlier):
+            if any(v == w or len(v) >= 4 and len(w) >= 4 and line_dedup.within_one(v, w) for v in earlier):
                 out[place].append(k)
             earlier.append(w)
     return out
@@ -562,7 +562,7 @@ def test_lines_on_awkward_rows(spark, docs, none):
 def test_lines_with_edits_everywhere(spark):
     rng = random.Random(6)
     lines = []
-    for n in (8, 9, 10, 15, 16, 40):
+    for n in (3, 4, 5, 6, 7, 8, 9, 10, 15, 16, 40):
         w = sentence(rng, n).split()
         for _ in range(10):
             v = list(w)
