@@ -7,9 +7,10 @@ k2 = ceil((k + 1)/n1) - 1 of the differing elements; dealt again into n2 pieces,
 part agrees in n2 - k2 of its pieces.  Every part and every choice of n2 - k2 pieces
 gives a signature of what the set has there, so similar sets share one.  Below
 ``PERCENT`` that takes too many signatures or leaves most of them empty, hence equal
-for unlike sets: there are k + 1 + e parts, e + 1 of which agree, and each set leaves
-out the e parts where it has least.  Parts that agree have the same order in both
-sets, so the last of them has e parts before it and is left out by neither.
+for unlike sets.  There, e parts more are dealt, so that e + 1 parts hold at most k2 of
+the differing elements and at least e + 1 signatures agree; each set leaves out the e
+signatures that cover least.  Signatures that agree cover as much in both sets and so
+have the same order; the last of them has e before it and is left out by neither.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.session import materialize
+from tapeloom.session import materialize, steps
 
-from .common import WordHashes, batches, mixed, small_batches, texts_of
+from .common import WordHashes, batches, free_names, mixed, small_batches, texts_of
 from .graph import components
 
 SHINGLE = 3
@@ -48,7 +49,7 @@ class Band:
     parts: int
     pieces: int
     choices: tuple[tuple[int, ...], ...]
-    spare: int = 0  # so many parts, those with the fewest elements, give no signature
+    spare: int = 0  # so many signatures, those that cover the fewest elements, are left out
 
 
 @lru_cache(100_000)
@@ -64,9 +65,10 @@ def band(number: int, percent: int = PERCENT) -> Band:
     before, top = (_top(number - 1) if number else 0), _top(number)
     k = 2 * top * (100 - percent) // (100 + percent)
     low = -(-(before + 1) * percent // 100)
-    if percent < PERCENT:
-        spare = (k + 1) // 4
-        return Band(number, low, top, k + 1 + spare, 1, ((0,),), spare)
+    if percent < PERCENT:  # one differing element in a part of two pieces, either of which is chosen
+        parts = k // 2 + 1
+        spare = parts // 3
+        return Band(number, low, top, parts + spare, 2, ((0,), (1,)), spare)
     plans = []
     for k2 in range(4):
         n1 = -(-(k + 1) // (k2 + 1))
@@ -111,19 +113,23 @@ def signatures(elements: np.ndarray, salt: int = 0, percent: int = PERCENT) -> n
     spread = mixed(elements + np.uint64(0x51ED270B + salt))
     for b in bands_of(len(elements), percent):
         cells = b.parts * b.pieces
+        at = ((spread >> np.uint64(20)) % np.uint64(cells)).astype(np.int64)
         sums = np.zeros(cells, np.uint64)
-        np.add.at(sums, ((spread >> np.uint64(20)) % np.uint64(cells)).astype(np.int64), spread)
+        np.add.at(sums, at, spread)
         table = sums.reshape(b.parts, b.pieces)
         name = np.arange(b.parts, dtype=np.uint64) * np.uint64(1009) + np.uint64(b.number << 40)
-        if b.spare:
-            held = np.bincount(((spread >> np.uint64(20)) % np.uint64(cells)).astype(np.int64), minlength=cells)
-            full = np.argsort(held, kind="stable")[b.spare :]
-            table, name = table[full], name[full]
+        own = []
         for c, choice in enumerate(b.choices):
             h = name + np.uint64(c)
             for piece in choice:
                 h = mixed(h + table[:, piece])
-            out.append(h)
+            own.append(h)
+        own = np.concatenate(own)
+        if b.spare:
+            held = np.bincount(at, minlength=cells).reshape(b.parts, b.pieces)
+            covered = np.concatenate([held[:, choice].sum(1) for choice in b.choices])
+            own = own[np.argsort(covered, kind="stable")[b.spare :]]
+        out.append(own)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -226,29 +232,53 @@ def _by_difference(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between members of one signature that are in different components.
 
     All members are held against the signature's most central set o by what differs:
-    the Hamming distance of two sets is that of their differences from o.  At least
-    one of the two is not linked with o; if their differences had no element in
-    common, their distance would then be over the bound, too.  So pairs are found by
-    elements that both differences hold, and the number of those gives the distance.
+    the Hamming distance of two sets is that of their differences from o.  Those near
+    enough to o are linked with it; any other link has an end s that is not, a seeker.
+    With r = (100 - percent) / (100 + percent), s differs from o in more than
+    (|s| + |o|) r elements, so a partner m with difference D shares more than
+    D (1 - r) / 2 of them with s.  Elements are ordered from rare to frequent; then one
+    of the first D - D (1 - r) / 2 + 1 of m is among the differences of s, and what a
+    whole group has in common, the frequent, seldom makes candidates.  As m lies at most
+    the bound from s, s may leave out its last elements, too.  The differences decide.
     """
     far, near = F.lit(100 + percent), F.lit(100 - percent)
     pairs = left.select(F.col("top.a").alias("o"), F.col("top.c").alias("oc"), F.col("top.n").alias("on"), "a", "c", "n").where("a <> o").distinct()
     x, y = sets.select("a", F.col("elements").alias("x")), sets.select(F.col("a").alias("o"), F.col("elements").alias("y"))
     apart = F.array_union(F.array_except("x", "y"), F.array_except("y", "x"))
-    held = materialize(pairs.join(x, "a").join(y, "o").withColumn("apart", apart).drop("x", "y").withColumn("d", F.size("apart")))
-    direct = held.where((F.col("c") != F.col("oc")) & (F.col("d") * far <= (F.col("n") + F.col("on")) * near)).select(F.col("a").alias("u"), F.col("o").alias("v"))
-    each = held.select("o", "oc", "a", "c", "n", "d", F.explode("apart").alias("e"))
-    other = each.select("o", "e", F.col("a").alias("pa"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("d").alias("pd"))
+    close = F.col("d") * far <= (F.col("n") + F.col("on")) * near
+    held = materialize(pairs.join(x, "a").join(y, "o").withColumn("apart", apart).drop("x", "y").withColumn("d", F.size("apart")).withColumn("seeks", (F.col("c") != F.col("oc")) & ~close))
+    direct = held.where((F.col("c") != F.col("oc")) & close).select(F.col("a").alias("u"), F.col("o").alias("v"))
+    needed = held.join(held.where("seeks").select("o").distinct(), "o", "left_semi")
+    each = needed.select("o", "a", F.explode("apart").alias("e"))
+    often = each.groupBy("o", "e").agg(F.count(F.lit(1)).alias("f"))
+    ordered = each.join(often, ["o", "e"]).groupBy("o", "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "e"))), lambda s: s["e"]).alias("rare"))  # at most what a set holds
+    ready = materialize(needed.drop("apart", "oc", "on").join(ordered, ["o", "a"]))
+    apart_at_least = F.greatest(F.lit(1), F.ceil(F.col("d") * (far - near) / (far * 2)))
+    seen = F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * near / F.lit(percent)))
+    first = lambda least: F.explode(F.slice("rare", F.lit(1), (F.col("d") - least + 1).cast("int"))).alias("e")
+    seekers = ready.where("seeks").select("o", "a", "c", "n", "d", first(seen))
+    other = ready.select("o", F.col("a").alias("pa"), F.col("c").alias("pc"), F.col("n").alias("pn"), F.col("d").alias("pd"), F.col("seeks").alias("pseeks"), first(apart_at_least))
     bound = (F.col("n") + F.col("pn")) * near
-    # two seekers meet once; a seeker and a member of the main component always do
-    once = (F.col("pc") == F.col("oc")) | (F.col("a") < F.col("pa"))
-    met = each.where(F.col("c") != F.col("oc")).join(other, ["o", "e"]).where(once & (F.col("c") != F.col("pc")) & (F.abs(F.col("d") - F.col("pd")) * far <= bound))
-    distance = F.col("d") + F.col("pd") - F.col("common") * 2
-    counted = met.groupBy("o", "a", "pa", "n", "pn", "d", "pd").agg(F.count(F.lit(1)).alias("common"))
-    return direct.unionAll(counted.where(distance * far <= bound).select(F.col("a").alias("u"), F.col("pa").alias("v"))).distinct()
+    once = ~F.col("pseeks") | (F.col("a") < F.col("pa"))  # two seekers meet once
+    met = seekers.join(other, ["o", "e"]).where(once & (F.col("c") != F.col("pc")) & (F.abs(F.col("d") - F.col("pd")) * far <= bound)).select("o", "a", "pa", "n", "pn", "d", "pd").distinct()
+    mine, theirs = ready.select("o", "a", "rare"), ready.select("o", F.col("a").alias("pa"), F.col("rare").alias("prare"))
+    distance = F.col("d") + F.col("pd") - F.size(F.array_intersect("rare", "prare")) * 2
+    linked = met.join(mine, ["o", "a"]).join(theirs, ["o", "pa"]).where(distance * far <= bound)
+    return direct.unionAll(linked.select(F.col("a").alias("u"), F.col("pa").alias("v"))).distinct()
+
+
+def _members(feats: DataFrame, percent: int) -> DataFrame:
+    """(sig, a) of the signatures that stand more than once; most stand once and go no further than one count."""
+    exploded = feats.where("sigs is not null").select(F.explode("sigs").alias("sig"), "a")
+    shared = exploded.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("sig")
+    if percent < PERCENT:  # several times the signatures: where few are shared, the others are not shuffled once more
+        shared = materialize(shared)
+        if shared.count() <= BROADCAST_ROWS:
+            shared = F.broadcast(shared)
+    return exploded.join(shared, "sig", "left_semi").distinct()
 
 
-def _links(docs: DataFrame, feats: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, component) of the sets that are linked with another.
 
     First every set is compared with the most central set that it shares a signature
@@ -256,13 +286,6 @@ def _links(docs: DataFrame, feats: DataFrame, nodes: DataFrame, n: int, percent:
     that cannot have a link outside their own are left out.  Links among the rest are
     found by how they differ from their signature's most central set.
     """
-    exploded = feats.where("sigs is not null").select(F.explode("sigs").alias("sig"), "a")
-    shared = exploded.groupBy("sig").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("sig")
-    if percent < PERCENT:  # several times the signatures: where few are shared, the others are not shuffled once more
-        shared = materialize(shared)
-        if shared.count() <= BROADCAST_ROWS:
-            shared = F.broadcast(shared)
-    members = materialize(exploded.join(shared, "sig", "left_semi").distinct())
     score = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).join(members, "sig").groupBy("a").agg(F.sum("m").alias("score"))
     known = materialize(score.join(nodes.groupBy("a").agg(F.first("n").alias("n"), F.min("_key").alias("_key")), "a"))
     sets = materialize(_sets(docs, known.select("a", "_key"), n))
@@ -290,14 +313,22 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     different sets are found.
     """
     small_batches(docs.sparkSession)
-    feats = materialize(_features(docs, shingle, percent))
+    with steps(docs.sparkSession) as kept:
+        kept.append(materialize(_classes(docs, shingle, percent)))
+    return kept[0]
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    with steps(docs.sparkSession) as kept:  # the signatures of all sets, most of the disk, go as soon as the shared ones are known
+        feats = materialize(_features(docs, shingle, percent))
+        kept += [materialize(feats.drop("sigs")), materialize(_members(feats, percent))]
+    feats, members = kept
     nodes = materialize(feats.where("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.min("_key").alias("_key")))
-    found = _links(docs, feats, nodes, shingle, percent)
+    found = _links(docs, members, nodes, shingle, percent)
     placed = nodes.join(found.withColumnRenamed("node", "a"), "a", "left").select("a", "b", "least", F.coalesce("component", "a").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "component").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "component_id", "component")
-    own = feats.select("doc_id", "n_shingles", "a", "b", "_key")
-    joined = own.join(named, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
+    joined = feats.join(named, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("a").alias("set_id"), "component", "_key")
 
 
@@ -308,9 +339,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     the smallest hash.  Texts without words all stay.
     """
     found = classes(docs, shingle, percent).where("n_shingles > 0 and doc_id <=> component_id")
-    stay = materialize(found.groupBy("component").agg(F.min("_key").alias("_kept_key")).select("_kept_key").distinct())
+    (key,) = free_names(docs, "_kept_key")
+    stay = materialize(found.groupBy("component").agg(F.min("_key").alias(key)).select(key).distinct())
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.where(worded).select(*columns, _key().alias("_kept_key"))
-    one = keyed.join(stay, "_kept_key", "left_semi").dropDuplicates(["_kept_key"])
+    keyed = docs.where(worded).select(*columns, _key().alias(key))
+    one = keyed.join(stay, key, "left_semi").dropDuplicates([key])
     return one.select(*columns).unionAll(docs.where(~worded).select(*columns))
