@@ -65,10 +65,10 @@ def band(number: int, percent: int = PERCENT) -> Band:
     before, top = (_top(number - 1) if number else 0), _top(number)
     k = 2 * top * (100 - percent) // (100 + percent)
     low = -(-(before + 1) * percent // 100)
-    if percent < PERCENT:  # one differing element in a part of two pieces, either of which is chosen
+    if percent < PERCENT:  # one differing element in a part of three pieces, any two of which are chosen
         parts = k // 2 + 1
-        spare = parts // 3
-        return Band(number, low, top, parts + spare, 2, ((0,), (1,)), spare)
+        spare = parts // 8
+        return Band(number, low, top, parts + spare, 3, tuple(combinations(range(3), 2)), spare)
     plans = []
     for k2 in range(4):
         n1 = -(-(k + 1) // (k2 + 1))
@@ -173,10 +173,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             own = [_set(hashes, t, n).view(np.int64) for t in texts_of(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(own, pa.list_(pa.int64()))], names=["a", "elements"])
 
-    if wanted.count() <= BROADCAST_ROWS:
+    known = wanted.count()
+    if known <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)  # two numbers a row; larger ones are joined by key
     texts = docs.select(_key().alias("_key"), "text").join(wanted, "_key").select("a", "text")
-    return texts.mapInArrow(run, "a bigint, elements array<bigint>").dropDuplicates(["a"])
+    sets = materialize(texts.mapInArrow(run, "a bigint, elements array<bigint>"))
+    # repeated rows of one document give its set again; without them the sets need no shuffle
+    return sets if sets.count() == known else materialize(sets.dropDuplicates(["a"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -288,7 +291,7 @@ def _links(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int, percen
     """
     score = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).join(members, "sig").groupBy("a").agg(F.sum("m").alias("score"))
     known = materialize(score.join(nodes.groupBy("a").agg(F.first("n").alias("n"), F.min("_key").alias("_key")), "a"))
-    sets = materialize(_sets(docs, known.select("a", "_key"), n))
+    sets = _sets(docs, known.select("a", "_key"), n)
     members = members.join(known.drop("_key"), "a").select("sig", "a", "n", "score")
     top = F.max(F.struct("score", "a", "n")).alias("top")
     best = members.join(members.groupBy("sig").agg(top), "sig").where((F.col("top.a") != F.col("a")) & _fits("n", "top.n", percent)).groupBy("a").agg(F.max("top").alias("top"))
