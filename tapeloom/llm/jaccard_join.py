@@ -130,7 +130,8 @@ def signatures(elements: np.ndarray, salt: int = 0, percent: int = PERCENT) -> n
             covered = np.concatenate([held[:, choice].sum(1) for choice in b.choices])
             own = own[np.argsort(covered, kind="stable")[b.spare :]]
         out.append(own)
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    # 48 bits: shuffled in three quarters of the room, and still few chance meetings among 10^13 signatures
+    return (np.concatenate(out) >> np.uint64(16)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def _set(hashes: WordHashes, text: bytes | None, n: int) -> np.ndarray:
