@@ -28,7 +28,7 @@ from .common import batches, small_batches, texts_of
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-CHUNK = 60_000  # positions of a stored row; its words need 16 bits
+CHUNK = 16_000  # positions of a stored row (at most 65,531: its words have 16-bit places); some hundred rows are in memory at once
 SHARD = 200_000  # phrases of a broadcast trie
 CACHE = 200_000  # words that a task counts before it hands their counts on
 TALLIES = 1 << 21  # extensions that a task sums up at once
@@ -256,8 +256,9 @@ def _shards(phrases: DataFrame):
 
 def _chunk_rows(parts):
     for b in batches(parts):
-        for lang, own, uniq, idx in zip(b.column("lang").to_pylist(), b.column("own").to_pylist(), b.column("uniq").to_pylist(), b.column("idx").to_pylist()):
-            yield lang, own, np.frombuffer(uniq, np.int64), np.frombuffer(idx, np.uint16)
+        uniq, idx = b.column("uniq"), b.column("idx")
+        for i, (lang, own) in enumerate(zip(b.column("lang").to_pylist(), b.column("own").to_pylist())):  # views, no copies
+            yield lang, own, np.frombuffer(uniq[i].as_buffer(), np.int64), np.frombuffer(idx[i].as_buffer(), np.uint16)
 
 
 def _extensions(codes: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
