@@ -3,14 +3,16 @@
 Text is gathered in blocks, each under its path of block elements from the root.
 Per path, text length and punctuation are summed and divided by the number of
 blocks; the ratios are smoothed over the page's order, fused and cut at a
-threshold.  The paths above it vote for the content node; its blocks, without
-boilerplate inside, are the text.
+threshold.  The paths above it vote for the content node, whose blocks are the
+text.  Class words such as ``comments`` lower the ratio of their paths, which then
+stay only if they still reach the threshold.  Every step is linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,37 +29,72 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 SKIPPED = set("head nav footer aside form button select menu dialog svg math canvas object video audio map datalist fieldset".split()) | RAW
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words in class, id and role that name parts beside the article.
+#: Names in class, id and role of parts beside the article; a name counts when its words are these and ``AROUND``.
 BESIDE = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar aside rail widget cookie cookies consent gdpr notice notices alert toast "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc footer header masthead topbar toolbar comments comment disqus replies reply respond share sharing social related recommended recommendations "
-    "newsletter subscribe subscription signup login popup modal overlay dialog search complementary contentinfo print hidden skip".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc footer header masthead topbar toolbar comments comment disqus replies reply respond "
+    "recommended recommendations newsletter subscribe subscription signup login popup modal overlay dialog complementary contentinfo hidden".split()
+)
+#: Names that an article can use for its own parts too; they lower a ratio less.
+DOUBTFUL = set("share sharing social related search print skip".split())
+AROUND = set(
+    "box block wrapper wrap container content list section area bar inner outer item items unit slot zone top bottom left right main site page post posts article articles entry "
+    "link links button buttons icon icons text title form panel group row column col user reader body thread feed".split()
 )
 MAIN = {"article", "main"}
+_FACTOR, _DOUBT = 0.03, 0.5  # what these names leave of a ratio
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+# The body of a tag runs to the first ">" outside a quoted value; nothing in it is tried twice.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|[^<]+|<",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TAG = re.compile(r"</?[a-zA-Z]")
+_LONG_NUMBER = re.compile(r"&#([0-9]{20,});?")
 _WORDS = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…、。！，：；？]")
 _LOW = 0.35  # share of the mean fused ratio that a content path reaches
+_MOST = 0.5  # share of the text from which a form holds the page
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     name: str
-    path: str
+    path: int  # number of the tag path
     up: int
-    beside: bool
-    main: bool
+    beside: bool  # never content: its tag, or hidden
+    main: bool  # an article or main, or inside one
+    factor: float = 1.0  # what its names leave of the ratio
 
 
 @dataclass
 class Page:
     """Block elements of a page, and its blocks of text with the element that each stands in."""
 
-    nodes: list[Node] = field(default_factory=lambda: [Node("", "", -1, False, False)])
+    nodes: list[Node] = field(default_factory=lambda: [Node("", 0, -1, False, False)])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters inside links
+    paths: dict[tuple, int] = field(default_factory=lambda: {(): 0})
+
+    def open(self, up: int, name: str, mark: str, beside: bool, main: bool, factor: float) -> int:
+        path = self.paths.setdefault((self.nodes[up].path, name, mark, beside, factor), len(self.paths))
+        self.nodes.append(Node(name, path, up, beside, main, factor))
+        return len(self.nodes) - 1
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per element the values of itself and all inside it."""
+        out = values.tolist()
+        for k in range(len(out) - 1, 0, -1):  # elements stand behind those that hold them
+            out[self.nodes[k].up] += out[k]
+        return np.array(out)
+
+    def inside(self, top: int) -> list[bool]:
+        out = [top == 0]
+        for k, n in enumerate(self.nodes[1:], 1):
+            out.append(k == top or out[n.up])
+        return out
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -67,109 +104,145 @@ def _attributes(text: str) -> dict[str, str]:
 def _is_beside(name: str, attributes: dict[str, str], in_main: bool) -> bool:
     if name in SKIPPED or name == "header" and not in_main:
         return True
-    if not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or _HIDDEN.search(attributes.get("style", "")):
-        return True
-    if name in ("body", "html", *MAIN):
-        return False
-    return any(w in BESIDE for k in ("class", "id", "role") if k in attributes for w in _WORDS.findall(attributes[k].lower()))
+    return bool(attributes) and ("hidden" in attributes or attributes.get("aria-hidden") == "true" or _HIDDEN.search(attributes.get("style", "")) is not None)
+
+
+def _factor(name: str, attributes: dict[str, str], in_main: bool) -> float:
+    """What the names of an element leave of its ratio."""
+    if not attributes or name in ("body", "html", *MAIN) or name in HEADINGS:
+        return 1.0
+    least = 1.0
+    for k in ("class", "role") if name in INLINE else ("class", "id", "role"):
+        for token in attributes.get(k, "").lower().split():
+            words = {w for w in _WORDS.findall(token) if not w.isdigit()}
+            if not words or not words <= BESIDE | DOUBTFUL | AROUND or in_main and words & BESIDE == {"header"}:
+                continue
+            least = min(least, _FACTOR if words & BESIDE else _DOUBT if words & DOUBTFUL and name not in INLINE else 1.0)
+    return least
 
 
 def parse(source: str) -> Page:
-    """Read tags in order; unclosed and unmatched ones are tolerated, a broken tail is kept as far as it goes."""
+    """Read tags in order; unclosed and unmatched ones are tolerated, a broken tail is kept as text."""
     page = Page()
     stack: list[tuple[str, int]] = [("", 0)]  # open elements: name and the block element they are or stand in
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where each name is open in the stack
+    solid: list[int] = []  # where elements other than inline ones are open
+    walls: list[int] = []  # of these, the ones that are no headings or paragraphs
     buffer: list[str] = []
-    linked, in_link = 0, 0
+    linked = 0
 
     def flush():
         nonlocal linked
         if buffer:
-            text = " ".join(html.unescape("".join(buffer)).split())
+            raw = _LONG_NUMBER.sub(lambda m: f"&#{m[1].lstrip('0')[:9] or '0'};", "".join(buffer))
+            text = " ".join(html.unescape(raw).split())
             if text:
                 page.blocks.append((stack[-1][1], text, linked))
             buffer.clear()
         linked = 0
 
+    def push(name: str, node: int):
+        at = len(stack)
+        stack.append((name, node))
+        places[name].append(at)
+        if name not in INLINE:
+            solid.append(at)
+            if name != "p" and name not in HEADINGS:
+                walls.append(at)
+
     def pop_to(at: int):
-        nonlocal in_link
-        in_link -= sum(1 for n, _ in stack[at:] if n == "a")
-        del stack[at:]
+        while len(stack) > at:
+            places[stack.pop()[0]].pop()
+        for kept in (solid, walls):
+            while kept and kept[-1] >= at:
+                kept.pop()
 
     tokens = _TOKEN.finditer(source)
     while (m := next(tokens, None)) is not None:
         name = m[2]
         if not name:
             token = m[0]
+            if token == "<" and _TAG.match(source, m.start()):  # a tag without end: so are all behind it
+                buffer.append(source[m.start() :])
+                break
             if token[0] != "<" or token == "<":
                 buffer.append(token)
-                if in_link:
+                if places["a"]:
                     linked += len(token)
             continue
         name = name.lower()
-        if m[1]:
-            if name == "br":
-                buffer.append(" ")
-                continue
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0] == name:
-                    if name not in INLINE:
-                        flush()
-                    elif any(n not in INLINE for n, _ in stack[at + 1 :]):
-                        break  # an inline end tag does not close the blocks inside it
-                    pop_to(at)
-                    break
-                if name in INLINE and stack[at][0] not in INLINE:
-                    break
-            continue
         if name == "br":
             buffer.append(" ")
             continue
+        if m[1]:
+            at = places[name][-1] if places[name] else 0
+            if not at or name in INLINE and solid and solid[-1] > at:
+                continue  # an inline end tag does not close the blocks inside it
+            if name not in INLINE:
+                flush()
+            pop_to(at)
+            continue
         if name in VOID:
             if name == "hr":
                 flush()
             continue
+        up = stack[-1][1]
+        attributes = _attributes(m[3])
         if name in INLINE:
-            hidden = m[3] and _is_beside(name, _attributes(m[3]), True)
-            if hidden:  # an inline part beside the text is a block of its own
+            hidden, factor = _is_beside(name, attributes, True), _factor(name, attributes, True)
+            if hidden or factor < 1:  # an inline part beside the text is a block of its own
                 flush()
-                page.nodes.append(Node(name, f"{page.nodes[stack[-1][1]].path}/{name}", stack[-1][1], True, False))
-                stack.append((name, len(page.nodes) - 1))
-                continue
-            stack.append((name, stack[-1][1]))
-            in_link += name == "a"
+                up = page.open(up, name, "", hidden, page.nodes[up].main, factor)
+            push(name, up)
             continue
         flush()
         closes = SIBLINGS.get(name, {"p"})
-        for at in range(len(stack) - 1, 0, -1):
-            n = stack[at][0]
-            if n in closes:
-                pop_to(at)
-                break
-            if n not in INLINE and n not in HEADINGS and not (n == "p" and name in SIBLINGS) and not (name == "tr" and n in ("td", "th")):
-                break
+        at = max((places[c][-1] for c in closes if places[c]), default=0)
+        stop = walls[-1] if walls else 0
+        if at and stop <= at and (name in SIBLINGS or not places["p"] or places["p"][-1] == at):
+            pop_to(at)
         up = stack[-1][1]
-        parent = page.nodes[up]
-        attributes = _attributes(m[3])
-        main = parent.main or name in MAIN
-        beside = parent.beside or _is_beside(name, attributes, parent.main)
+        in_main = page.nodes[up].main
         mark = ".".join(_WORDS.findall(attributes.get("class", "").lower()))
-        page.nodes.append(Node(name, f"{parent.path}/{name}{'.' + mark if mark else ''}", up, beside, main))
+        node = page.open(up, name, mark, _is_beside(name, attributes, in_main), in_main or name in MAIN, _factor(name, attributes, in_main))
         if m[3].endswith("/") and name in ("svg", "math"):
             continue
-        stack.append((name, len(page.nodes) - 1))
+        push(name, node)
         if name in RAW:
             pop_to(len(stack) - 1)
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(source, m.end())  # its content is no markup
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, m.end())  # its content is no markup
             tokens = _TOKEN.finditer(source, end.end() if end else len(source))
     flush()
     return page
 
 
-def content_paths(page: Page) -> set[str]:
+def settle(page: Page) -> None:
+    """Hand ``beside`` and ``factor`` down, and drop blocks beside the article.
+
+    A form that holds at least half of the text is the page.  Names do not count on
+    an element with nine tenths of the text, or with half of it and an article inside.
+    """
+    out = [False]
+    for n in page.nodes[1:]:
+        out.append(out[n.up] or n.beside and n.name != "form")
+    size = np.zeros(len(page.nodes))
+    for k, text, _ in page.blocks:
+        size[k] += 0 if out[k] else len(text)
+    size = page.sums(size)
+    mains = page.sums(np.array([n.name in MAIN for n in page.nodes], np.int64))
+    for k, n in enumerate(page.nodes[1:], 1):
+        if n.name == "form" and size[k] >= _MOST * size[0]:
+            n.beside = False
+        if n.factor < 1 and (size[k] >= 0.9 * size[0] or mains[k] and size[k] >= _MOST * size[0]):
+            n.factor = 1.0
+        up = page.nodes[n.up]
+        n.beside, n.factor = n.beside or up.beside, min(n.factor, up.factor)
+    page.blocks = [b for b in page.blocks if not page.nodes[b[0]].beside]
+
+
+def content_paths(page: Page) -> set[int]:
     """Paths whose fused, smoothed ratio of text and punctuation to blocks passes the threshold."""
-    order: dict[str, int] = {}
+    order: dict[int, int] = {}
     own = [page.nodes[k].path for k, _, _ in page.blocks]
     place = np.array([order.setdefault(p, len(order)) for p in own], np.int64)
     if not len(place):
@@ -181,15 +254,12 @@ def content_paths(page: Page) -> set[str]:
     around = np.convolve(np.pad(fused[place], 1, mode="edge"), [0.25, 0.5, 0.25], "valid")  # over the page's order
     smooth = np.bincount(place, around) / count
     ratio = np.sqrt(fused * smooth)
+    factor = np.bincount(place, [page.nodes[k].factor for k, _, _ in page.blocks]) / count
     weight = np.bincount(place, [len(t) for _, t, _ in page.blocks])
+    if (factor >= 1).any():
+        weight = weight * (factor >= 1)  # parts that their names doubt do not set the threshold
     cut = _LOW * float((ratio * weight).sum() / max(weight.sum(), 1))
-    return {p for p, k in order.items() if ratio[k] >= cut}
-
-
-def _inside(page: Page, node: int, top: int) -> bool:
-    while node > top:
-        node = page.nodes[node].up
-    return node == top
+    return {p for p, k in order.items() if ratio[k] * factor[k] >= cut}
 
 
 def main_text(source: str | None) -> tuple[str, list[str]]:
@@ -197,31 +267,31 @@ def main_text(source: str | None) -> tuple[str, list[str]]:
     if not source:
         return "", []
     page = parse(source)
-    page.blocks = [b for b in page.blocks if not page.nodes[b[0]].beside]
+    settle(page)
+    nodes = page.nodes
     chosen = content_paths(page)
-    votes = np.zeros(len(page.nodes))
+    votes = np.zeros(len(nodes))
     for k, text, link in page.blocks:
-        if page.nodes[k].path in chosen:
-            at = k
-            while at >= 0:
-                votes[at] += max(1, len(text) - link)
-                at = page.nodes[at].up
+        if nodes[k].path in chosen:
+            votes[k] += max(1, len(text) - link)
+    votes = page.sums(votes)
     total = votes[0]
     if not total:
         return "", []
-    mains = [k for k, n in enumerate(page.nodes) if n.name in MAIN and not n.beside and not page.nodes[n.up].main]
+    mains = [k for k, n in enumerate(nodes) if n.name in MAIN and not n.beside and not nodes[n.up].main]
     best = max(mains, key=lambda k: (votes[k], -k), default=0)
     if best and votes[best] >= 0.3 * total:
-        inner = [k for k, n in enumerate(page.nodes) if n.name == "article" and page.nodes[best].name == "main" and _inside(page, k, best) and k != best]
+        within = page.inside(best)
+        inner = [k for k, n in enumerate(nodes) if n.name == "article" and nodes[best].name == "main" and within[k] and k != best]
         dense = max(inner, key=lambda k: (votes[k], -k), default=0)
-        top = dense if dense and votes[dense] >= 0.7 * votes[best] else best
-        blocks = [t for k, t, _ in page.blocks if _inside(page, k, top)]
+        top, named = (dense if dense and votes[dense] >= 0.7 * votes[best] else best), True
     else:
         # the deepest element with most of the votes; under it, paths below the threshold that are links go
-        top = max((k for k in range(len(page.nodes)) if votes[k] >= 0.8 * total), default=0)
-        while top and (page.nodes[top].name in HEADINGS or page.nodes[top].name in ("p", "li", "td", "th", "blockquote", "pre", "dd", "dt")):
-            top = page.nodes[top].up
-        blocks = [t for k, t, link in page.blocks if _inside(page, k, top) and (page.nodes[k].path in chosen or link <= 0.5 * len(t))]
+        top, named = max((k for k in range(len(nodes)) if votes[k] >= 0.8 * total), default=0), False
+        while top and (nodes[top].name in HEADINGS or nodes[top].name in ("p", "li", "td", "th", "blockquote", "pre", "dd", "dt")):
+            top = nodes[top].up
+    within = page.inside(top)
+    blocks = [t for k, t, link in page.blocks if within[k] and (nodes[k].path in chosen or nodes[k].factor >= 1 and (named or link <= 0.5 * len(t)))]
     return " ".join(blocks), blocks
 
 
