@@ -15,6 +15,7 @@ from tapeloom.session import materialize
 
 #: Rows that travel to Python at once; texts can be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 500
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the rows per Arrow batch, so that a batch of long texts fits a worker."""
+    """Lower the rows and bytes per Arrow batch, so that a batch of long texts fits a worker.
+
+    The settings are read when a query runs, after the operator has returned, so they stay
+    lowered for the session.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

@@ -26,7 +26,7 @@ UNKNOWN = "und"
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF)], "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)], "cyrillic": [(0x400, 0x52F)], "armenian": [(0x530, 0x58F)],
     "hebrew": [(0x590, 0x5FF)], "arabic": [(0x600, 0x6FF), (0x750, 0x77F)], "devanagari": [(0x900, 0x97F)], "bengali": [(0x980, 0x9FF)], "tamil": [(0xB80, 0xBFF)],
-    "thai": [(0xE00, 0xE7F)], "georgian": [(0x10A0, 0x10FF)], "kana": [(0x3040, 0x30FF)], "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x2FFFF)], "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
+    "thai": [(0xE00, 0xE7F)], "georgian": [(0x10A0, 0x10FF)], "kana": [(0x3040, 0x30FF)], "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0x20000, 0x323AF)], "hangul": [(0x1100, 0x11FF), (0xAC00, 0xD7AF)],
 }
 SCRIPT_NAMES = ("other", *SCRIPTS)
 
@@ -35,7 +35,7 @@ SCRIPT_NAMES = ("other", *SCRIPTS)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: its lower-case form (0 if it is no letter or mark of a word) and its script's number."""
     lower = np.zeros(0x110000, np.uint32)
-    for c in range(0x30000):
+    for c in range(0x32400):  # no letters are assigned above
         ch = chr(c)
         if ch.isalpha() or c > 0x2FF and unicodedata.category(ch) in ("Mn", "Mc"):
             low = ch.lower()
@@ -47,6 +47,15 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return lower, script
 
 
+@lru_cache(1)
+def _marks() -> np.ndarray:
+    """For each code point, whether it is a mark and no letter."""
+    out = np.zeros(0x110000, bool)
+    for c in np.flatnonzero(_tables()[0]).tolist():
+        out[c] = not chr(c).isalpha()
+    return out
+
+
 class Words:
     """The words of several texts: maximal runs of letters, and the n-gram numbers at their letters."""
 
@@ -56,6 +65,14 @@ class Words:
         raw = np.frombuffer(("\0" + "\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
         code = lower[raw].astype(np.uint64)
         letter = code > 0
+        marks = letter & _marks()[raw]
+        if marks.any():  # a run of marks alone is no word
+            edge = np.diff(letter.astype(np.int8))
+            start, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
+            known = np.cumsum(np.concatenate([[0], letter & ~marks]))
+            for k in np.flatnonzero(known[end] == known[start]).tolist():
+                code[start[k] : end[k]] = 0
+            letter = code > 0
         edge = np.diff(letter.astype(np.int8))
         self.start, self.end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
         first = np.cumsum([1, *[len(t) + 1 for t in texts]])
@@ -180,6 +197,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     2 * 2^15 + 15 numbers for each language.
     """
     small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", "lang")  # other columns cannot clash
     chosen = docs.where(F.col("lang").isNotNull() & teaches(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     for keys in (["_lang", F.pmod(F.hash("_id"), F.lit(16))], ["_lang"]):  # in parts first, so that a hot language is no large group
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("_id"), "_id"))

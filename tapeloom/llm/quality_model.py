@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Quali
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(w[used])], names=["at", "w"])
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("y", T.DoubleType()), T.StructField("at", T.ArrayType(T.LongType())), T.StructField("x", T.ArrayType(T.DoubleType()))])
-    hashed = rows.mapInArrow(features, schema).dropDuplicates(["doc_id"])
+    one_each = rows.mapInArrow(features, schema).groupBy("doc_id").agg(F.min(F.struct("at", "x", "y")).alias("r"))
+    hashed = one_each.select("doc_id", "r.*")  # of several texts of one id the smallest, so that reruns agree
     ordered = hashed.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     weights = np.zeros(1 << BITS)
     for r in ordered.select("y", "at", "x").mapInArrow(train, "at bigint, w double").collect():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODINGS: dict[str, tuple] = {}
+#: White space as the pattern reads it, in runs that its matcher cannot take back step by step.
+_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 
 
 def _encoding(ranks: bytes, pattern: str):
@@ -33,6 +36,24 @@ def _encoding(ranks: bytes, pattern: str):
     return _ENCODINGS[key]
 
 
+def encode(encoder, text: str, pattern: str = PATTERN) -> list[int]:
+    """Token numbers of a whole text.
+
+    The pattern takes a run of white space but its last character, or all of it at the
+    end of a text, as one piece.  Its matcher keeps a step of the stack for each
+    character, so with the standard pattern long runs are cut out here and encoded as
+    the piece that they are; the tokens are the same.
+    """
+    out: list[int] = []
+    at = 0
+    for m in _BLANKS.finditer(text) if pattern == PATTERN else ():
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += encoder.encode_ordinary(text[at : m.start()])
+        out += encoder._encode_single_piece(text[m.start() : end].encode())
+        at = end
+    return out + encoder.encode_ordinary(text[at:]) if at else encoder.encode_ordinary(text)
+
+
 def line_sections(text: bytes) -> list[tuple[int, int]]:
     """Byte spans of the lines with their line breaks; an empty text has none."""
     out, at = [], 0
@@ -91,7 +112,7 @@ def count_sections(docs: DataFrame, ranks_path: str = RANKS, pattern: str = PATT
             out: list[tuple] = []
             for text in texts_of(b.column("text")):
                 text = text or b""
-                ids = encoder.encode_ordinary(text.decode("utf-8", "replace"))
+                ids = encode(encoder, text.decode("utf-8", "replace"), pattern)
                 spans = np.array(sections(text), np.int64).reshape(-1, 2)
                 tokens, crossing = attribute(np.cumsum(sizes[ids]), spans)
                 out.append((spans[:, 1] - spans[:, 0], tokens, crossing, len(ids)))
