@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import clip, div, finite
 from ..functions.ranks import value_ranks
-from .metrics import ic
 
 # Thresholds of the report.
 MIN_SAMPLES, MIN_REGIME_WIN, MIN_TICKER_WIN, LOSS_TRIGGER, DRIFT_Z = 10, 0.48, 0.45, -0.001, 2.0
@@ -31,45 +29,78 @@ def hold_out(df: DataFrame, frac: float = 0.8, date: str = "date") -> DataFrame:
 MIN_RIDGE_ROWS = 50  # with fewer rows, or none in a part, the IC is 0
 
 
+def gram(df: DataFrame, cols: list[str], by: str) -> DataFrame:
+    """Per value of ``by`` and column ``i``: ``n``, ``mean`` and ``cov``, its covariances with all columns.
+
+    The covariances merge, so tasks send one row for each group and column.
+    """
+    x = F.array(*[F.col(c) for c in cols])
+    long = df.select(by, x.alias("__x"), F.posexplode(x).alias("i", "__v"))
+    cov = F.array(*[F.covar_pop("__v", F.element_at("__x", j + 1)) for j in range(len(cols))])
+    return long.groupBy(by, "i").agg(F.count(F.lit(1)).alias("n"), F.avg("__v").alias("mean"), cov.alias("cov"))
+
+
+def _held_ic(parts: dict, use: list[int], ridge: float) -> float:
+    """IC on the held-out part of a ridge regression on the columns ``use``; the target is the last column."""
+    (n, train), (n_valid, valid) = parts[True], parts[False]
+    if not n or not n_valid or n + n_valid < MIN_RIDGE_ROWS:
+        return 0.0
+    scale = np.sqrt(np.maximum(train.diagonal()[use], 0)) + 1e-6
+    xx = n * train[np.ix_(use, use)] / np.outer(scale, scale) + ridge * np.eye(len(use))
+    xy = n * train[use, -1] / scale
+    try:
+        w = np.linalg.solve(xx, xy)
+    except np.linalg.LinAlgError:
+        w = np.linalg.pinv(xx) @ xy
+    w = w / scale
+    spread, own = w @ valid[np.ix_(use, use)] @ w, valid[-1, -1]
+    if not (spread > 1e-24 and own > 1e-24):
+        return 0.0
+    ic = float(w @ valid[use, -1] / np.sqrt(spread * own))
+    return ic if np.isfinite(ic) else 0.0
+
+
+def _held_out_parts(df: DataFrame, cols: list[str], target: str, date: str) -> dict:
+    """(rows, covariances of the columns and the target) of the earlier and the later dates.
+
+    One pass for the cut and one for the covariances, whatever is fitted later.  The
+    driver gets two rows for each column.
+    """
+    known = df.select(date, *[finite(c).alias(f"__c{i}") for i, c in enumerate([*cols, target])]).dropna()
+    width = len(cols) + 1
+    parts = {t: (0, np.zeros((width, width))) for t in (True, False)}
+    for r in gram(hold_out(known, date=date), [f"__c{i}" for i in range(width)], "train").collect():
+        parts[r["train"]][1][r["i"]] = r["cov"]
+        parts[r["train"]] = (r["n"], parts[r["train"]][1])
+    return parts
+
+
 def ridge_ic(df: DataFrame, features: list[str], target: str = "target", ridge: float = 1e-3, date: str = "date") -> DataFrame:
     """IC, on the later fifth of the dates, of a ridge regression fitted on the earlier ones.
 
     Features are scaled by the training part; there is no intercept.  One row:
     ic, n_train, n_valid; the IC is 0 with fewer than 50 rows or an empty part.
+    Runs its jobs when called.
     """
-    known = df.select(date, *[finite(c).alias(c) for c in features], finite(target).alias("__y")).dropna()
-    known = hold_out(known, date=date)
-    train = known.where("train")
-    moments = train.agg(
-        *[F.avg(c).alias(f"__m_{c}") for c in features], *[(F.stddev_pop(c) + 1e-6).alias(f"__s_{c}") for c in features],
-        F.stddev_pop("__y").alias("__sy"), F.count(F.lit(1)).alias("__n"),
-    )
-    head = moments.first()  # one row of scalars, needed as the solver's penalty
-    n, sy = head["__n"], head["__sy"] or 1.0
-    if not n:
-        return known.agg(F.lit(0.0).alias("ic"), F.count(F.when(~F.col("train"), 1)).alias("n_valid")).withColumn("n_train", F.lit(0).cast("bigint"))
-    scaled = known.select("train", "__y", *[((F.col(c) - head[f"__m_{c}"]) / head[f"__s_{c}"]).alias(c) for c in features])
-    x = VectorAssembler(inputCols=features, outputCol="__x").transform(scaled)
-    # the solver divides the penalty by n and scales it by the label deviation
-    solver = LinearRegression(
-        featuresCol="__x", labelCol="__y", predictionCol="__p", solver="normal", fitIntercept=False, standardization=False, regParam=ridge / n * sy
-    )
-    pred = solver.fit(x.where("train")).transform(x.where("NOT train"))
-    valid = F.count(F.lit(1))
-    enough = (valid > 0) & (valid + n >= MIN_RIDGE_ROWS)
-    return pred.agg(F.when(enough, ic("__p", "__y")).otherwise(0.0).alias("ic"), valid.alias("n_valid")).withColumn("n_train", F.lit(n).cast("bigint"))
+    parts = _held_out_parts(df, features, target, date)
+    row = (_held_ic(parts, list(range(len(features))), ridge), parts[False][0], parts[True][0])
+    return df.sparkSession.createDataFrame([row], "ic double, n_valid bigint, n_train bigint")
 
 
 def ablate(df: DataFrame, features: list[str], candidates: list[str], target: str = "target", min_gain: float = 0.001, ridge: float = 1e-3,
            date: str = "date") -> DataFrame:
-    """For each candidate the IC with it added, the gain, and whether it is promoted."""
-    base = ridge_ic(df, features, target, ridge, date).select(F.col("ic").alias("baseline_ic"))
-    out = None
-    for c in candidates:
-        one = ridge_ic(df, [*features, c], target, ridge, date).select(F.lit(c).alias("name"), "ic")
-        out = one if out is None else out.unionByName(one)
+    """For each candidate the IC with it added, the gain, and whether it is promoted.
+
+    All fits use the rows that are complete in features and candidates, so that gains
+    compare; covariances are gathered once and each fit solves a part of them.
+    """
+    parts = _held_out_parts(df, [*features, *candidates], target, date)
+    own = list(range(len(features)))
+    base = _held_ic(parts, own, ridge)
+    rows = [(c, _held_ic(parts, [*own, len(own) + i], ridge), base) for i, c in enumerate(candidates)]
     gain = F.col("ic") - F.col("baseline_ic")
-    return out.join(F.broadcast(base)).withColumns({"delta_ic": gain, "status": F.when(gain >= min_gain, "promoted").otherwise("rejected")})
+    out = df.sparkSession.createDataFrame(rows, "name string, ic double, baseline_ic double")
+    return out.withColumns({"delta_ic": gain, "status": F.when(gain >= min_gain, "promoted").otherwise("rejected")})
 
 
 def feature_drift(journal: DataFrame, z: float = DRIFT_Z, least: int = 20, ts: str = "timestamp", features: str = "regime_features") -> DataFrame:

@@ -10,9 +10,12 @@ from ..functions.core import EPS, div, finite, pct_change, rows, series
 from .joins import asof_join
 
 # Names of the ratios.
+VALUATION_RATIOS = ["trailing_pe", "forward_pe", "peg_ratio", "price_to_book", "ev_to_ebitda"]
 HISTORY_RATIOS = [
     "gross_margin", "operating_margin", "net_margin", "roe", "roa", "debt_to_equity", "revenue_growth", "earnings_growth",
 ]
+PAYOUT_RATIOS = ["dividend_yield"]
+RATIOS = [*VALUATION_RATIOS, *HISTORY_RATIOS, *PAYOUT_RATIOS]
 # Analyst grades on the 1 (strong buy) to 5 (sell) scale.
 GRADES = {
     "Strong Buy": 1, "Buy": 2, "Overweight": 2, "Outperform": 2, "Hold": 3, "Neutral": 3, "Equal-Weight": 3,
@@ -45,20 +48,20 @@ def quarterly_ratios(statements: DataFrame, key: str = "ticker", date: str = "re
     )
 
 
-def fundamental_features(bars: DataFrame, ratios: DataFrame, snapshot: DataFrame | None = None, names=tuple(HISTORY_RATIOS), limit: float = 5.0,
+def fundamental_features(bars: DataFrame, ratios: DataFrame, snapshot: DataFrame | None = None, names=tuple(RATIOS), limit: float = 5.0,
                          key: str = "ticker", date: str = "date", report: str = "report_date") -> DataFrame:
     """The ratios of the last report on or before each bar.
 
-    Tickers with fewer than two reports, and ratios no report has, take the
-    snapshot (one row per ticker).  Then percent repair, winsorising per ticker,
-    forward fill, zero fill.
+    A ratio that none of a ticker's reports states, and every ratio of a ticker with
+    fewer than two reports, comes from the snapshot (one row per ticker).  Then
+    percent repair, winsorising per ticker, forward fill, zero fill.
     """
-    enough = ratios.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 2")
     have = [n for n in names if n in ratios.columns]
+    stated = [(F.count(finite(n)) > 0).alias(f"__h_{n}") for n in have]
+    enough = ratios.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), *stated).where("__n >= 2").drop("__n")
     right = ratios.join(enough, key, "left_semi").select(key, F.col(report).alias(date), *have)
     j = asof_join(bars.select(key, date), right, [key], date, chunk=None)
-    history = enough.select(key, F.lit(True).alias("__h"))
-    j = j.join(history, key, "left")
+    j = j.join(enough, key, "left")
     if snapshot is not None:
         extra = [n for n in names if n in snapshot.columns]
         j = j.join(snapshot.select(key, *[F.col(n).alias(f"__s_{n}") for n in extra]), key, "left")
@@ -67,7 +70,7 @@ def fundamental_features(bars: DataFrame, ratios: DataFrame, snapshot: DataFrame
     out = {}
     for n in names:
         snap = F.col(f"__s_{n}") if n in extra else F.lit(None).cast("double")
-        value = F.when(F.col("__h"), F.col(n)).otherwise(snap) if n in have else snap
+        value = F.when(F.col(f"__h_{n}"), F.col(n)).otherwise(snap) if n in have else snap
         out[f"fund_{n}"] = finite(value)
     df = j.select(key, date, *[c.alias(n) for n, c in out.items()])
     if "fund_debt_to_equity" in out:
@@ -104,7 +107,9 @@ def rating_change(grades: DataFrame, key: str = "ticker", date: str = "date", gr
 
 
 def earnings_surprise(earnings: DataFrame) -> DataFrame:
-    """(actual - estimate) over the size of the estimate."""
+    """(actual - estimate) over the size of the estimate, or ``surprise_pct`` (in percent) where a table has no such pair."""
+    if not {"actual", "estimate"} <= set(earnings.columns):
+        return earnings.withColumn("earnings_surprise", finite("surprise_pct") / 100.0).where("earnings_surprise IS NOT NULL").drop("surprise_pct")
     s = (F.col("actual") - F.col("estimate")) / (F.abs("estimate") + EPS)
     return earnings.withColumn("earnings_surprise", s).where("earnings_surprise IS NOT NULL").drop("actual", "estimate")
 
@@ -114,7 +119,7 @@ def sentiment_features(bars: DataFrame, news_daily: DataFrame, earnings: DataFra
     """Article volume and headline sentiment, last earnings surprise, analyst consensus and its change.
 
     ``news_daily`` (ticker, date, n_articles, avg_sentiment), ``earnings`` (ticker,
-    date, actual, estimate), ``analyst`` (ticker, recommendation_mean,
+    date, actual and estimate, or surprise_pct), ``analyst`` (ticker, recommendation_mean,
     target_mean, target_high, target_low, current_price), ``grades`` (ticker,
     date, to_grade).
     """

@@ -207,10 +207,18 @@ def long_short_daily(preds: DataFrame, top: int = 20, k_rule: str = "quarter", b
     return out.withColumn("ret", F.col("gross") - F.col("turnover") * (bps / 10_000.0)).drop("__ls")
 
 
-def long_short(preds: DataFrame, top: int = 20, k_rule: str = "quarter", bps: float = 10.0, **names) -> DataFrame:
-    """Performance of the long-short portfolio, with its mean turnover."""
+def long_enough(summary: DataFrame, least: int) -> DataFrame:
+    """Series of fewer than ``least`` days are not annualised: Sharpe and total return are 0, other measures unknown."""
+    short = F.col("n_days") < least
+    zero = {"sharpe", "total_return"}
+    measures = [f.name for f in summary.schema if f.dataType.typeName() == "double"]
+    return summary.withColumns({c: F.when(~short, F.col(c)).otherwise(F.lit(0.0) if c in zero else None) for c in measures})
+
+
+def long_short(preds: DataFrame, top: int = 20, k_rule: str = "quarter", bps: float = 10.0, least_days: int = 5, **names) -> DataFrame:
+    """Performance of the long-short portfolio, with its mean turnover, from ``least_days`` days on."""
     daily = long_short_daily(preds, top, k_rule, bps, **names)
-    return performance_summary(daily, date=names.get("date", "date"), extra=[F.avg("turnover").alias("avg_turnover")])
+    return long_enough(performance_summary(daily, date=names.get("date", "date"), extra=[F.avg("turnover").alias("avg_turnover")]), least_days)
 
 
 def long_only_daily(preds: DataFrame, top: int = 20, pred: str = "pred", target: str = "target", date: str = "date", ticker: str = "ticker") -> DataFrame:
@@ -223,9 +231,9 @@ def long_only_daily(preds: DataFrame, top: int = 20, pred: str = "pred", target:
     return n.join(held, date, "left").select(date, F.coalesce("__r", F.lit(0.0)).alias("ret"))
 
 
-def long_only(preds: DataFrame, top: int = 20, **names) -> DataFrame:
-    """Performance of the long-only portfolio."""
-    return performance_summary(long_only_daily(preds, top, **names), date=names.get("date", "date"))
+def long_only(preds: DataFrame, top: int = 20, least_days: int = 10, **names) -> DataFrame:
+    """Performance of the long-only portfolio, from ``least_days`` days on."""
+    return long_enough(performance_summary(long_only_daily(preds, top, **names), date=names.get("date", "date")), least_days)
 
 
 def portfolio_curves(preds: DataFrame, top: int = 20, pred: str = "pred", target: str = "target", date: str = "date", ticker: str = "ticker", least: int = 5) -> DataFrame:

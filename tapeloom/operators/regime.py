@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import RobustScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +163,29 @@ def fit_regime_clusters(df: DataFrame, k: int = 6, seed: int = 42, cols=tuple(RE
     return model, model.transform(filled).select("date", "cluster")
 
 
+def cluster_check(df: DataFrame, model, cols=tuple(REGIME_COLUMNS)) -> DataFrame:
+    """One row that any right clustering passes.
+
+    ``n_dates``, ``n_clusters`` (in use), ``n_off_nearest`` (dates with a centre nearer
+    than their own) and ``center_gap`` (largest distance, in scaled columns, of a
+    centre from the mean of its members).
+    """
+    centers = [[float(x) for x in c] for c in model.stages[-1].clusterCenters()]
+    placed = model.transform(df.select("date", *[zero_fill(c).alias(c) for c in cols])).select("cluster", vector_to_array("__s").alias("__a"))
+
+    def apart(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+    points = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centers])  # k rows of literals
+    gaps = F.array(*[apart(F.col("__a"), F.element_at(points, i + 1)) for i in range(len(centers))])
+    placed = placed.withColumn("__d", gaps)
+    placed = placed.withColumn("__off", F.element_at("__d", F.col("cluster") + 1) > F.array_min("__d") * (1 + 1e-9) + 1e-12)
+    mean = F.array(*[F.avg(F.element_at("__a", i + 1)) for i in range(len(cols))])
+    per = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("__off").cast("bigint")).alias("__o"), mean.alias("__m"))
+    gap = F.sqrt(apart(F.col("__m"), F.element_at(points, F.col("cluster") + 1)))
+    return per.agg(F.sum("__n").alias("n_dates"), F.count(F.lit(1)).alias("n_clusters"), F.sum("__o").alias("n_off_nearest"), F.max(gap).alias("center_gap"))
+
+
 def cluster_centers(spark, model, cols=tuple(REGIME_COLUMNS)) -> DataFrame:
     """Centres of a fitted clustering as rows (k of them)."""
     rows_ = [(i, *[float(x) for x in c]) for i, c in enumerate(model.stages[-1].clusterCenters())]

@@ -224,7 +224,27 @@ def a13(spark, sf):
     return rounded(L.ridge_ic(predictions(spark, sf), ["ret5", "rev1"], ridge=50.0), 5)
 
 
-@query("A13_ablate")
+def _ic3(c: str) -> str:
+    """IC with features a, b and ``c`` by Cramer's rule on the sums of the training part."""
+    det = f"(aa * (bb * {c}{c} - b{c} * b{c}) - ab * (ab * {c}{c} - b{c} * a{c}) + a{c} * (ab * b{c} - bb * a{c}))"
+    w = [
+        f"(ay * (bb * {c}{c} - b{c} * b{c}) - ab * (byy * {c}{c} - b{c} * {c}y) + a{c} * (byy * b{c} - bb * {c}y)) / {det}",
+        f"(aa * (byy * {c}{c} - b{c} * {c}y) - ay * (ab * {c}{c} - b{c} * a{c}) + a{c} * (ab * {c}y - byy * a{c})) / {det}",
+        f"(aa * (bb * {c}y - byy * b{c}) - ab * (ab * {c}y - byy * a{c}) + ay * (ab * b{c} - bb * a{c})) / {det}",
+    ]
+    return f"(SELECT corr(a * w1 + b * w2 + {c} * w3, y) FROM (SELECT a, b, {c}, y, {', '.join(f'{e} AS w{i}' for i, e in enumerate(w, 1))} FROM hs, hg WHERE NOT train))"
+
+
+_AB = ["a", "b", "c", "d"]
+ABLATE = f"""pk AS (SELECT date, ret5 AS a0, rev1 AS b0, sma20 AS c0, ret5 * rev1 AS d0, target AS y FROM preds WHERE ret5 IS NOT NULL AND rev1 IS NOT NULL AND sma20 IS NOT NULL AND target IS NOT NULL),
+  hd AS (SELECT date, count(*) AS n FROM pk GROUP BY date), hc AS (SELECT date, sum(n) OVER (ORDER BY date) <= floor(sum(n) OVER () * 0.8::DOUBLE) AS train FROM hd), hx AS (SELECT pk.*, train FROM pk JOIN hc USING (date)),
+  hm AS (SELECT {', '.join(f'avg({x}0) AS m{x}, stddev_pop({x}0) + 1e-6 AS s{x}' for x in _AB)} FROM hx WHERE train), hs AS (SELECT train, y, {', '.join(f'({x}0 - m{x}) / s{x} AS {x}' for x in _AB)} FROM hx, hm),
+  hg AS (SELECT {', '.join(f'sum({x} * {x}) + 0.001 AS {x}{x}' for x in _AB)}, sum(a * b) AS ab, sum(a * c) AS ac, sum(a * d) AS ad, sum(b * c) AS bc, sum(b * d) AS bd, sum(a * y) AS ay, sum(b * y) AS byy, sum(c * y) AS cy, sum(d * y) AS dy FROM hs WHERE train),
+  ic AS (SELECT (SELECT corr(a * w1 + b * w2, y) FROM (SELECT a, b, y, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS w1, (aa * byy - ab * ay) / (aa * bb - ab * ab) AS w2 FROM hs, hg WHERE NOT train)) AS base, {_ic3('c')} AS ic_c, {_ic3('d')} AS ic_d),
+  ab AS (SELECT 'sma20' AS name, ic_c AS ic, base FROM ic UNION ALL SELECT 'feat_cross', ic_d, base FROM ic)"""
+
+
+@query("A13_ablate", f"WITH {PREDS}, {ABLATE} SELECT name, {r6('ic', 'ic', 5)}, {r6('base', 'baseline_ic', 5)}, {r6('ic - base', 'delta_ic', 5)}, CASE WHEN ic - base >= 0.001 THEN 'promoted' ELSE 'rejected' END AS status FROM ab")
 def a13_ablate(spark, sf):
     p = predictions(spark, sf).withColumn("feat_cross", F.col("ret5") * F.col("rev1"))
     return rounded(L.ablate(p, ["ret5", "rev1"], ["sma20", "feat_cross"]), 5)

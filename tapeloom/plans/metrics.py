@@ -186,13 +186,13 @@ def a12(spark, sf):
   per AS (SELECT ticker, count(*) AS n, avg(CASE WHEN ret5 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS z1, avg(CASE WHEN rev1 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS z2 FROM f GROUP BY ticker),
   c AS (SELECT count(*) AS n_tickers, min(n) AS rows_min, max(n) AS rows_max, median(n) AS rows_median, avg((z1 + z2) / 2) AS zero_ratio FROM per),
   t AS (SELECT CAST(sum(CASE WHEN target IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_missing_target, avg(target) AS target_mean, stddev_pop(target) AS target_std, min(target) AS target_min, max(target) AS target_max, min(date) AS first_date, max(date) AS last_date FROM f),
-  m AS (SELECT min(CAST(ts AS DATE)) AS minute_first, count(*) AS n_minute FROM (SELECT DISTINCT event_type, date_trunc('hour', ts) AS ts FROM events))
+  m AS (SELECT min(CAST(ts AS DATE)) AS minute_first, count(*) AS n_minute FROM (SELECT DISTINCT event_type, date_trunc('minute', ts) AS ts FROM events))
   SELECT n_missing_target, {rounds(['target_mean', 'target_std', 'target_min', 'target_max', 'rows_median', 'zero_ratio'])}, first_date, last_date, n_tickers, rows_min, rows_max, minute_first, n_minute,
     {r6('(last_date - first_date) / 365.25', 'span_years')}, CAST(minute_first - last_date AS INTEGER) AS gap_days,
     array_to_string(list_filter([CASE WHEN abs(target_mean) > 0.05 THEN 'target mean is large' END, CASE WHEN minute_first > last_date THEN 'gap between daily and minute data' END, CASE WHEN zero_ratio > 0.5 THEN 'many zero features' END], lambda x: x IS NOT NULL), '; ') AS issues FROM t, c, m""")
 def a16(spark, sf):
     df = predictions(spark, sf).withColumn("target", F.when(F.abs("raw_target") < 2, F.col("target")))
-    q = M.quality_report(df, ["ret5", "rev1"], T.bars_minute(spark, sf, "hour"))
+    q = M.quality_report(df, ["ret5", "rev1"], T.bars_minute(spark, sf))
     return rounded(q.withColumn("issues", F.array_join("issues", "; ")))
 
 

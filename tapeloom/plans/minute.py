@@ -28,8 +28,8 @@ def m1(spark, sf):
     return _out(M.minute_base(T.bars_minute(spark, sf)), ["return_1m", "log_volume", "spread", "vwap_proxy"])
 
 
-# hourly bars: the recursive check SQL walks one row per step and ticker
-HN = event_bars("hour") + """, num AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS t FROM mbars),
+# the recursive check SQL walks one bar of each ticker per step
+HN = event_bars("minute") + """, num AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) - 1 AS t FROM mbars),
   p AS (SELECT *, coalesce({0}, close) AS pc, coalesce({1}, high) AS ph, coalesce({2}, low) AS pl FROM num),
   m AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr,
     CASE WHEN greatest(high - ph, 0.0) > greatest(pl - low, 0.0) THEN greatest(high - ph, 0.0) ELSE 0.0 END AS dmp,
@@ -67,7 +67,7 @@ def _num(e: str) -> str:
 
 @query("M2_minute_indicators", IND_SQL.format(cols=", ".join(r6(_num(e), n, 5) for n, e in IND.items())))
 def m2(spark, sf):
-    return _out(M.minute_indicators(T.bars_minute(spark, sf, "hour")), list(IND), 5)
+    return _out(M.minute_indicators(T.bars_minute(spark, sf)), list(IND), 5)
 
 
 REL = ["ema_5", "ema_12", "ema_26"]
@@ -75,7 +75,7 @@ REL = ["ema_5", "ema_12", "ema_26"]
 
 @query("M3_relative_to_close", IND_SQL.format(cols=", ".join(r6(f"({_num(IND[n])} - num.close) / greatest(num.close, 1e-8)", n) for n in REL)))
 def m3(spark, sf):
-    df = M.minute_indicators(T.bars_minute(spark, sf, "hour"), ("ema",))
+    df = M.minute_indicators(T.bars_minute(spark, sf), ("ema",))
     return _out(M.relative_to_close(df, REL), REL)
 
 

@@ -100,6 +100,15 @@ def r6_clusters(spark, sf):
     return labels
 
 
+# clusters are numbered differently by every engine; these properties hold for any right clustering
+@query("R6_cluster_check", f"WITH {REG} SELECT count(*) AS n_dates, CAST(6 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_off_nearest, true AS centers_are_means FROM regime")
+def r6_check(spark, sf):
+    df = regime_table(spark, sf)
+    model, _ = R.fit_regime_clusters(df)
+    c = R.cluster_check(df, model)
+    return c.select("n_dates", "n_clusters", "n_off_nearest", (F.col("center_gap") < 0.01).alias("centers_are_means"))
+
+
 CENTERS = f"""{REG}, ce AS (SELECT CAST(month(date) - 1 AS INTEGER) AS cluster, avg(regime_spy_ret5) * 10 AS a, avg(regime_vix_level) * 10 AS v, avg(regime_spy_vol20) AS s FROM regime GROUP BY 1),
   b AS (SELECT cluster, CASE WHEN a < -1.0 AND v > 1.0 THEN 'crisis' WHEN a < -0.5 THEN CASE WHEN v > 0.5 OR s > 0.5 THEN 'bear_high_vol' ELSE 'bear_low_vol' END WHEN a > 0.5 THEN CASE WHEN v > 0.3 OR s > 0.3 THEN 'bull_high_vol' ELSE 'bull_low_vol' END ELSE 'choppy' END AS base FROM ce),
   n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY cluster) - 1 AS n FROM b)"""
@@ -169,19 +178,25 @@ def r10(spark, sf):
     return rounded(U.quarterly_ratios(T.statements(spark, sf)))
 
 
-SNAP = "snap AS (SELECT 'S' || s_suppkey AS ticker, s_acctbal / 10000 AS gross_margin, s_acctbal / 100 AS debt_to_equity FROM supplier)"
-_FUND = {n: (f"CASE WHEN a.report_date IS NOT NULL OR b.ticker IN (SELECT ticker FROM rat) THEN a.{n} ELSE " + (f"snap.{n}" if n in ("gross_margin", "debt_to_equity") else "NULL") + " END") for n in U.HISTORY_RATIOS}
-F11 = f"""{BARS}, {RATIOS}, {SNAP}, f0 AS (SELECT b.ticker, b.date, {', '.join(f'{e} AS {n}' for n, e in _FUND.items())} FROM bars b ASOF LEFT JOIN rat a ON a.ticker = b.ticker AND b.date >= a.report_date LEFT JOIN snap ON snap.ticker = b.ticker),
+# snapshot figures derived from suppliers; every fourth ticker's reports state no growth of earnings
+SNAPSHOT = {"gross_margin": "s_acctbal / 10000", "debt_to_equity": "s_acctbal / 100", "earnings_growth": "s_acctbal / 50000", "trailing_pe": "s_acctbal / 300", "forward_pe": "s_acctbal / 350", "peg_ratio": "s_acctbal / 5000",
+            "price_to_book": "(s_nationkey + 1) / 4", "ev_to_ebitda": "s_acctbal / 700", "dividend_yield": "s_nationkey / 400"}
+SNAP = "snap AS (SELECT 'S' || s_suppkey AS ticker, " + ", ".join(f"{e} AS {n}" for n, e in SNAPSHOT.items()) + " FROM supplier), rat2 AS (SELECT * REPLACE (CASE WHEN CAST(substr(ticker, 2) AS INTEGER) % 4 <> 0 THEN earnings_growth END AS earnings_growth) FROM rat)"
+SNAP += ", own AS (SELECT ticker, " + ", ".join(f"count({n}) > 0 AS {n}" for n in U.HISTORY_RATIOS) + " FROM rat2 GROUP BY ticker HAVING count(*) >= 2)"
+_FUND = {n: f"CASE WHEN own.{n} THEN a.{n} ELSE " + (f"snap.{n}" if n in SNAPSHOT else "NULL") + " END" if n in U.HISTORY_RATIOS else f"snap.{n}" for n in U.RATIOS}
+F11 = f"""{BARS}, {RATIOS}, {SNAP}, f0 AS (SELECT b.ticker, b.date, {', '.join(f'{e} AS {n}' for n, e in _FUND.items())} FROM bars b ASOF LEFT JOIN rat2 a ON a.ticker = b.ticker AND b.date >= a.report_date LEFT JOIN own ON own.ticker = b.ticker LEFT JOIN snap ON snap.ticker = b.ticker),
   f1 AS (SELECT * REPLACE (CASE WHEN median(debt_to_equity) OVER (PARTITION BY ticker) > 10 THEN debt_to_equity / 100 ELSE debt_to_equity END AS debt_to_equity) FROM f0),
-  f2 AS (SELECT ticker, date, {', '.join(f"CASE WHEN {n} IS NULL THEN NULL WHEN stddev_samp({n}) OVER (PARTITION BY ticker) > 0 THEN least(greatest({n}, median({n}) OVER (PARTITION BY ticker) - 2 * stddev_samp({n}) OVER (PARTITION BY ticker)), median({n}) OVER (PARTITION BY ticker) + 2 * stddev_samp({n}) OVER (PARTITION BY ticker)) ELSE {n} END AS {n}" for n in U.HISTORY_RATIOS)} FROM f1)"""
+  f2 AS (SELECT ticker, date, {', '.join(f"CASE WHEN {n} IS NULL THEN NULL WHEN stddev_samp({n}) OVER (PARTITION BY ticker) > 0 THEN least(greatest({n}, median({n}) OVER (PARTITION BY ticker) - 2 * stddev_samp({n}) OVER (PARTITION BY ticker)), median({n}) OVER (PARTITION BY ticker) + 2 * stddev_samp({n}) OVER (PARTITION BY ticker)) ELSE {n} END AS {n}" for n in U.RATIOS)} FROM f1)"""
 
 
-@query("R11_fundamental_features", f"WITH {F11} SELECT ticker, date, " + ", ".join(r6(f"coalesce(last_value({n} IGNORE NULLS) {run()}, 0.0)", f"fund_{n}", 7) for n in U.HISTORY_RATIOS) + " FROM f2")
+@query("R11_fundamental_features", f"WITH {F11} SELECT ticker, date, " + ", ".join(r6(f"coalesce(last_value({n} IGNORE NULLS) {run()}, 0.0)", f"fund_{n}", 7) for n in U.RATIOS) + " FROM f2")
 def r11(spark, sf):
     snap = T.table(spark, sf, "supplier").select(
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), (F.col("s_acctbal") / 10000).alias("gross_margin"), (F.col("s_acctbal") / 100).alias("debt_to_equity")
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), *[F.expr(e).alias(n) for n, e in SNAPSHOT.items()]
     )
-    return rounded(U.fundamental_features(T.bars_daily(spark, sf), U.quarterly_ratios(T.statements(spark, sf)), snap, limit=2.0), 7)
+    states = F.substring("ticker", 2, 20).cast("int") % 4 != 0
+    ratios = U.quarterly_ratios(T.statements(spark, sf)).withColumn("earnings_growth", F.when(states, F.col("earnings_growth")))
+    return rounded(U.fundamental_features(T.bars_daily(spark, sf), ratios, snap, limit=2.0), 7)
 
 
 GR = list(U.GRADES) + ["Reduce"]

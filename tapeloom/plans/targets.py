@@ -72,9 +72,9 @@ def t4(spark, sf):
     return df.withColumn("target", F.round("target", 5) + 0.0)
 
 
-@query("T5_minute_target", f"WITH RECURSIVE {event_bars('hour')}, {target_sql('mbars', 39, 39, 39, 'ts')}")
+@query("T5_minute_target", f"WITH RECURSIVE {event_bars('minute')}, {target_sql('mbars', 390, 390, 1, 'ts')}")
 def t5(spark, sf):
-    df = G.minute_target(T.bars_minute(spark, sf, "hour"), 39, 39, 39)
+    df = G.minute_target(T.bars_minute(spark, sf))
     return df.select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), (F.round("target", 5) + 0.0).alias("target"), F.round("raw_target", 6).alias("raw_target"))
 
 
@@ -136,12 +136,12 @@ def t11(spark, sf):
     return G.assign_folds(bars, G.walk_forward_windows(bars, expanding=False))
 
 
-@query("T12_minute_split", f"""WITH {event_bars('hour')}, rg AS (SELECT min(date) AS d0, max(date) AS d1, CAST(max(date) - min(date) AS INTEGER) AS span FROM mbars),
+@query("T12_minute_split", f"""WITH {event_bars('minute')}, rg AS (SELECT min(date) AS d0, max(date) AS d1, CAST(max(date) - min(date) AS INTEGER) AS span FROM mbars),
   c AS (SELECT *, d0 + CAST(floor(span * 0.7::DOUBLE) AS INTEGER) AS tb, d0 + CAST(floor(span * (0.7::DOUBLE + 0.15::DOUBLE)) AS INTEGER) AS ve FROM rg)
-  SELECT ticker, ts, CASE WHEN date < tb - 1 THEN 'train' WHEN date >= tb + 1 AND date < ve THEN 'val' WHEN date >= ve THEN 'test' END AS split
-  FROM mbars, c WHERE date < tb - 1 OR (date >= tb + 1 AND date < ve) OR (date >= ve AND date < d1)""")
+  SELECT ticker, ts, CASE WHEN date < tb - 5 THEN 'train' WHEN date >= tb + 5 AND date < ve THEN 'val' WHEN date >= ve THEN 'test' END AS split
+  FROM mbars, c WHERE date < tb - 5 OR (date >= tb + 5 AND date < ve) OR (date >= ve AND date < d1)""")
 def t12(spark, sf):
-    return G.minute_split(T.bars_minute(spark, sf, "hour"), purge=1).select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), "split")
+    return G.minute_split(T.bars_minute(spark, sf)).select("ticker", F.col("ts").cast("timestamp_ntz").alias("ts"), "split")
 
 
 @query("T13_date_overlap", f"WITH {BARS} SELECT DISTINCT date FROM bars WHERE date IN (SELECT CAST(o_orderdate AS DATE) FROM orders)")
