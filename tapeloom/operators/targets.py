@@ -86,25 +86,28 @@ def sequences(df: DataFrame, seq_len: int, stride: int, cols: list[str], target:
               horizon: int = 1, key: str = "ticker", order: str = "date") -> DataFrame:
     """For every ``stride``-th row the ``seq_len`` rows before it as an array, with its target.
 
-    Each row is sent to the sequences it belongs to, so work follows the output
-    and a long series spreads over many groups.
+    Rows are gathered in blocks of ``stride`` rows, each beginning with an anchor; a
+    sequence is cut from the blocks before its own.  The whole plan keeps the rows of a
+    key where one exchange put them, and copies a row at most once for each block that
+    needs it.  A key's rows are bounded by the calendar, as its times are unique.
     """
     w = series(key, order)
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    df = df.withColumn("__t", F.row_number().over(w) - 1).withColumn("__n", n)
     first = max(warmup, seq_len)
-    # anchors are first, first + stride, ...; row t serves anchors in (t, t + seq_len]
-    lo = F.greatest(F.lit(0), F.ceil((F.col("__t") + 1 - first) / stride))
-    hi = F.floor((F.col("__t") + seq_len - first) / stride)
-    items = df.select(
-        key, "__t", "__n", F.array(*[F.col(c).cast("float") for c in cols]).alias("__x"),
-        F.explode(F.when(hi >= lo, F.sequence(lo, hi))).alias("__a"),
-    ).withColumn("row", F.col("__a") * stride + first)
-    items = items.where(F.col("row") < F.col("__n") - horizon)
-    seqs = items.groupBy(key, "row").agg(F.array_sort(F.collect_list(F.struct("__t", "__x"))).alias("__s"))
-    seqs = seqs.select(key, "row", F.transform("__s", lambda s: s["__x"]).alias("sequence"))
-    anchors = df.where(F.col(target).isNotNull()).select(key, F.col("__t").cast("bigint").alias("row"), order, target)
-    return seqs.join(anchors, [key, "row"]).select(key, order, "row", "sequence", target)
+    # anchors are first, first + stride, ...
+    placed = df.select(
+        key, order, F.col(target).alias("__y"), F.array(*[F.col(c).cast("float") for c in cols]).alias("__x"),
+        (F.row_number().over(w) - 1).cast("bigint").alias("__t"), n.alias("__n"),
+    ).withColumn("__b", F.floor((F.col("__t") - first) / stride))
+    item = F.struct("__t", "__x", F.col(order).alias("__o"), "__y")
+    blocks = placed.groupBy(key, "__b").agg(F.array_sort(F.collect_list(item)).alias("__s"), F.max("__n").alias("__n"))
+    before = Window.partitionBy(key).orderBy("__b").rowsBetween(-(-(-seq_len // stride)), -1)
+    near = F.flatten(F.collect_list(F.transform("__s", lambda s: s["__x"])).over(before))
+    anchor = F.col("__s")[0]
+    out = blocks.withColumn("__near", near).where((F.col("__b") >= 0) & (anchor["__t"] < F.col("__n") - horizon) & anchor["__y"].isNotNull())
+    return out.select(
+        key, anchor["__o"].alias(order), anchor["__t"].alias("row"), F.slice("__near", -seq_len, seq_len).alias("sequence"), anchor["__y"].alias(target)
+    )
 
 
 def temporal_split(df: DataFrame, warmup: int = 252, fracs=(0.70, 0.15), horizon: int = 1, key: str = "ticker", order: str = "date") -> DataFrame:

@@ -84,6 +84,12 @@ def test_sequences_hold_the_rows_before(spark, walk):
     assert out["row"].tolist() == list(range(10, 149, 7))
     for row, seq in zip(out["row"], out["sequence"]):
         assert [s[0] for s in seq] == pytest.approx(closes[row - 5:row], rel=1e-6)
+    few = df.where("ticker = 'BBB' AND close IS NOT NULL")
+    for length, stride, warmup in ((8, 3, 0), (5, 1, 11), (6, 6, 6), (151, 2, 0)):
+        out = G.sequences(G.forward_return(few, out="target"), length, stride, ["close"], warmup=warmup).orderBy("row").toPandas()
+        assert out["row"].tolist() == list(range(max(length, warmup), 149, stride))
+        for row, seq in zip(out["row"], out["sequence"]):
+            assert [s[0] for s in seq] == pytest.approx(closes[row - length:row], rel=1e-6)
 
 
 def test_hub_graph_equals_all_pairs(spark):
