@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, small_batches, texts_of
+from tapeloom.session import materialize
+
+from .common import batches, free_names, small_batches, texts_of
 
 WINDOW = 13
 MAX_WORDS = 2_000_000  # benchmark words that one broadcast set is made of
@@ -120,28 +122,25 @@ def _scan_batches(grams: GramSet, rows: Iterator[pa.RecordBatch], keep: list[str
         yield batch, found
 
 
-def _grams(spark, items: DataFrame, window: int):
-    """Broadcast gram sets, each made of at most about MAX_WORDS benchmark words (one very long item may exceed it alone).
+def _slices(items: DataFrame) -> tuple[DataFrame, int]:
+    """The items as strings and bytes, and how many gram sets they are cut into.
 
-    A larger benchmark is cut by the hash of its items into more sets, each of which scans the documents in turn.
+    A set is made of at most about MAX_WORDS benchmark words (one very long item may
+    exceed it alone).  A larger benchmark is cut by the hash of its items into more
+    sets, each of which scans the documents in turn.
     """
     sized = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("item is not null and text is not null")
     letters = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = max(1, -(-letters // (5 * MAX_WORDS)))
-    for k in range(slices):
-        part = sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
-        yield spark.sparkContext.broadcast(GramSet([(r[0], bytes(r[1])) for r in part.collect()], window))
+    return sized, max(1, -(-letters // (5 * MAX_WORDS)))
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document ``doc_id``, ``n_words``, ``spans`` (first word, end word) that are hit, and ``items``, sorted as strings.
+def _gram_set(sized: DataFrame, slices: int, k: int, window: int):
+    part = sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
+    return sized.sparkSession.sparkContext.broadcast(GramSet([(r[0], bytes(r[1])) for r in part.collect()], window))
 
-    A window is ``window`` consecutive words of an item, or all words of a shorter
-    one; a document word inside any occurrence is hit.  Hashes find candidates, the
-    words decide.  Null and empty texts have no words; items without words, id or
-    text match nothing; repeated items count once and repeated documents keep their
-    rows.  Nothing is shuffled: the documents are scanned where they are read.
-    """
+
+def _hits(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, bool]:
+    """Results of :func:`hits` with ``_row``, and whether there is one per distinct (doc_id, text) instead of one per row."""
     spark = docs.sparkSession
     small_batches(spark)
     schema = T.StructType([
@@ -160,19 +159,40 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 
         return run
 
-    sets = list(_grams(spark, items, window))
-    source = docs.select("doc_id", "text", F.lit(0).cast("long").alias("_row"))
-    if len(sets) == 1:
-        return source.mapInArrow(scanner(sets[0]), schema).drop("_row")
-    # more sets: equal (doc_id, text) rows get equal results, so they are joined again by what they hold
+    sized, slices = _slices(items)
+    if slices == 1:
+        source = docs.select("doc_id", "text", F.lit(0).cast("long").alias("_row"))
+        return source.mapInArrow(scanner(_gram_set(sized, 1, 0, window)), schema), False
+    # more sets: equal (doc_id, text) rows get equal results; the hits of a set are written and the set is freed before the next is read
     source = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
-    each = [source.mapInArrow(scanner(s), schema).dropDuplicates(["doc_id", "_row"]) for s in sets]
+    each = []
+    for k in range(slices):
+        shared = _gram_set(sized, slices, k, window)
+        each.append(materialize(source.mapInArrow(scanner(shared), schema).dropDuplicates(["doc_id", "_row"])))
+        shared.destroy()
     union = each[0]
     for more in each[1:]:
         union = union.unionAll(more)
     merged = union.groupBy("doc_id", "_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    out = source.select("doc_id", "_row").alias("d").join(merged.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._row") == F.col("m._row")))
-    return out.select("d.doc_id", "n_words", F.expr("aggregate(array_sort(spans), cast(array() as array<array<bigint>>), (a, s) -> if(size(a) > 0 and s[0] <= a[size(a) - 1][1], concat(slice(a, 1, size(a) - 1), array(array(a[size(a) - 1][0], greatest(a[size(a) - 1][1], s[1])))), concat(a, array(s))))").alias("spans"), "items")
+    joined = F.expr("aggregate(array_sort(spans), cast(array() as array<array<bigint>>), (a, s) -> if(size(a) > 0 and s[0] <= a[size(a) - 1][1], concat(slice(a, 1, size(a) - 1), array(array(a[size(a) - 1][0], greatest(a[size(a) - 1][1], s[1])))), concat(a, array(s))))")
+    return merged.withColumn("spans", joined), True
+
+
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document ``doc_id``, ``n_words``, ``spans`` (first word, end word) that are hit, and ``items``, sorted as strings.
+
+    A window is ``window`` consecutive words of an item, or all words of a shorter
+    one; a document word inside any occurrence is hit.  Hashes find candidates, the
+    words decide.  Null and empty texts have no words; items without words, id or
+    text match nothing; repeated items count once and repeated documents keep their
+    rows.  Nothing is shuffled: the documents are scanned where they are read.
+    """
+    found, distinct = _hits(docs, items, window)
+    if not distinct:
+        return found.drop("_row")
+    source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_row"))
+    out = source.alias("d").join(found.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._row") == F.col("m._row")))
+    return out.select("d.doc_id", "n_words", "spans", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -227,14 +247,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, remov
 
         return run
 
-    sets = list(_grams(spark, items, window))
-    if len(sets) == 1:
-        return docs.mapInArrow(cleaner(sets[0]), docs.schema)
-    # the share counts hits of all sets together
-    bad = digest(hits(docs, items, window)).where("contaminated").select("doc_id").distinct()
-    if remove == "spans":
-        raise ValueError("spans can be removed for benchmarks of one set only")
-    return docs.join(bad, "doc_id", "left_anti")
+    sized, slices = _slices(items)
+    if slices == 1:
+        return docs.mapInArrow(cleaner(_gram_set(sized, 1, 0, window)), docs.schema)
+    # the share counts hits of all sets together; each row is judged by its own id and text
+    found, _ = _hits(docs, items, window)
+    bad = digest(found.withColumn("doc_id", F.struct("doc_id", "_row", "spans"))).where("contaminated").select("doc_id.*").alias("b")
+    key, cut = free_names(docs, "_key", "_cut")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"d.{key}") == F.col("b._row"))
+    if remove == "documents":
+        return keyed.join(bad, same, "left_anti").drop(key)
+
+    def cutter(rows):
+        for batch in rows:
+            at, spans = batch.schema.get_field_index("text"), batch.column(batch.num_columns - 1).to_pylist()
+            texts = [_without(t, s) if s else t and t.decode() for t, s in zip(texts_of(batch.column(at)), spans)]
+            kept = batch.select(batch.schema.names[:-1])
+            yield kept.set_column(at, kept.schema.field(at), pa.array(texts, kept.schema.field(at).type))
+
+    marked = keyed.join(bad, same, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("b.spans").alias(cut))
+    return marked.mapInArrow(cutter, docs.schema)
 
 
 def sha256_of(items: list[str]) -> str:
