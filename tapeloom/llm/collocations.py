@@ -31,7 +31,9 @@ TOP = 2000
 CHUNK = 16_000  # positions of a stored row (at most 65,531: its words have 16-bit places); some hundred rows are in memory at once
 SHARD = 200_000  # phrases of a broadcast trie
 CACHE = 200_000  # words that a task counts before it hands their counts on
-TALLIES = 1 << 21  # extensions that a task sums up at once
+WORDS = 1 << 18  # words that a task encodes at once, and those of one text more
+TALLIES = 1 << 21  # extensions or accepted phrases that a task sums up at once
+ROWS = 1 << 16  # sums that travel at once
 PROBES = 300_000  # cells that are looked at for a node before it goes to the end
 BLOCK = 4096  # counts that travel in one row
 
@@ -105,12 +107,20 @@ def _encoded(docs: DataFrame, seed: int) -> DataFrame:
         counters: dict[str, _Counter] = {}
         for b in batches(parts):
             by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(b.column("lang").to_pylist(), texts_of(b.column("text"))):
-                by_lang.setdefault(lang, []).extend(tokens(text) + [b"."])
-            for lang, words in by_lang.items():
+
+            def chunks(lang, by_lang=by_lang):
                 own = counters.setdefault(lang, _Counter(seed))
-                slots = own.slots(words)
-                yield _chunks(lang, slots, np.array(own.hashes, np.int64))
+                slots = own.slots(by_lang.pop(lang))
+                return _chunks(lang, slots, np.array(own.hashes, np.int64))
+
+            for lang, text in zip(b.column("lang").to_pylist(), texts_of(b.column("text"))):
+                words = by_lang.setdefault(lang, [])
+                words.extend(tokens(text))
+                words.append(b".")
+                if len(words) > WORDS:
+                    yield chunks(lang)
+            for lang in list(by_lang):
+                yield chunks(lang)
             if sum(len(c.hashes) for c in counters.values()) > CACHE:
                 yield from (c.rows(lang) for lang, c in counters.items())
                 counters.clear()
@@ -277,7 +287,9 @@ def _extensions(codes: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
             def rows():
                 keys, counts = np.unique(np.concatenate(held), return_counts=True)
                 hashes = np.fromiter(names, np.int64, len(names))
-                return pa.RecordBatch.from_arrays([pa.array(trie.ids[keys >> 32]), pa.array(hashes[keys & 0xFFFFFFFF]), pa.array(counts)], names=["id", "h", "count"])
+                for start in range(0, len(keys), ROWS):
+                    key, count = keys[start : start + ROWS], counts[start : start + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(trie.ids[key >> 32]), pa.array(hashes[key & 0xFFFFFFFF]), pa.array(count)], names=["id", "h", "count"])
 
             for lang, own, uniq, idx in _chunk_rows(parts):
                 last = [x for x in trie.advance(lang, uniq, idx, own + 1)][k - 1 : k]
@@ -290,14 +302,17 @@ def _extensions(codes: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
                     accepted = np.zeros(len(idx) + LONGEST + 1, bool)
                     accepted[position] = True
                     follows &= accepted[position + 1]
-                number = np.fromiter((names.setdefault(h, len(names)) for h in uniq.tolist()), np.int64, len(uniq))
-                held.append(phrase[follows] << 32 | number[padded[position[follows] + k]])
+                place = padded[position[follows] + k]
+                used = np.flatnonzero(np.bincount(place))
+                number = np.zeros(len(uniq), np.int64)
+                number[used] = [names.setdefault(h, len(names)) for h in uniq[used].tolist()]
+                held.append(phrase[follows] << 32 | number[place])
                 size += len(held[-1])
                 if size > TALLIES:
-                    yield rows()
+                    yield from rows()
                     held, size, names = [], 0, {}
             if size:
-                yield rows()
+                yield from rows()
 
         found.append(materialize(codes.mapInArrow(run, "id bigint, h bigint, count bigint")))
         shared.unpersist()
@@ -319,10 +334,17 @@ def _counts(codes: DataFrame, phrases: DataFrame) -> DataFrame:
 
         def run(parts, shared=shared):
             trie = shared.value
-            total = np.zeros(len(trie.ids) + 1, np.int64)  # the last for states that accept nothing
+            total, held, size = np.zeros(len(trie.ids), np.int64), [], 0
             for lang, own, uniq, idx in _chunk_rows(parts):
                 for _, state in trie.advance(lang, uniq, idx, own):
-                    total += np.bincount(trie.phrase[state] % len(total), minlength=len(total))
+                    phrase = trie.phrase[state]
+                    held.append(phrase[phrase >= 0])
+                    size += len(held[-1])
+                if size > TALLIES:
+                    total += np.bincount(np.concatenate(held), minlength=len(total))
+                    held, size = [], 0
+            if size:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
             blocks = [total[k : k + BLOCK] for k in range(0, len(trie.ids), BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "counts"])
 
