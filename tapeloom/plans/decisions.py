@@ -303,7 +303,7 @@ _FS = " UNION ALL ".join(f"SELECT fold, '{m}' AS model, {m} AS p, target FROM te
 
 @query("A20_attention_bias", f"""WITH RECURSIVE {PREDS}, {windows_sql(False)}, {FOLDS}, te AS (SELECT preds.*, fold FROM preds JOIN parts ON date >= lo AND date < hi WHERE split = 'test'), {FILLED},
   fs AS ({_FS}), im AS (SELECT fold, model, {metrics_sql('p', 'target')} FROM fs GROUP BY fold, model), ja AS (SELECT fold, avg(CASE WHEN actual_return > 0 THEN 1 ELSE -1 END * sub_model_agreement / 3) AS at0 FROM jf JOIN parts ON date >= lo AND date < hi WHERE split = 'test' AND actual_return IS NOT NULL GROUP BY fold),
-  jm AS (SELECT im.fold, im.model, im.ic, coalesce(at0, 0) * CASE im.model WHEN 'ret5' THEN 1 WHEN 'rev1' THEN 2 ELSE 3 END AS att FROM im LEFT JOIN ja ON ja.fold = im.fold),
+  jm AS (SELECT im.fold, im.model, im.ic, coalesce(at0, 0) AS att FROM im LEFT JOIN ja ON ja.fold = im.fold),
   rb AS (SELECT fold, model, ic, (0.7::DOUBLE * CASE WHEN stddev_pop(ic) OVER (PARTITION BY fold) > 1e-8 THEN (ic - avg(ic) OVER (PARTITION BY fold)) / stddev_pop(ic) OVER (PARTITION BY fold) ELSE 0 END
      + 0.3::DOUBLE * CASE WHEN stddev_pop(att) OVER (PARTITION BY fold) > 1e-8 THEN (att - avg(att) OVER (PARTITION BY fold)) / stddev_pop(att) OVER (PARTITION BY fold) ELSE 0 END) * 0.5::DOUBLE AS raw FROM jm),
   em AS (SELECT fold, model, ic, raw, least(greatest(raw, -2.0), 2.0)::DOUBLE AS bias FROM rb WHERE fold = 0 UNION ALL SELECT n.fold, n.model, n.ic, n.raw, least(greatest(0.7::DOUBLE * e.bias + 0.3::DOUBLE * n.raw, -2.0), 2.0)::DOUBLE FROM em e JOIN rb n ON n.model = e.model AND n.fold = e.fold + 1)
@@ -314,7 +314,5 @@ def a20(spark, sf):
     m = M.regression_metrics(M.stack_models(te, MODELS, ["fold", "target"]), by=("fold", "model")).select("fold", "model", "ic")
     j = resolved(spark, sf).withColumn("date", F.to_date(F.try_to_timestamp("timestamp")))
     att = L.journal_attribution(G.assign_folds(j, windows).where("split = 'test'"), 3)
-    # credit is shared evenly; uneven shares here give the z-score something to see
-    share = F.explode(F.map_from_arrays(F.array(*[F.lit(x) for x in MODELS]), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))).alias("model", "k")
-    att = att.select("fold", "attribution", share).select("fold", "model", (F.col("attribution") * F.col("k")).alias("attribution"))
+    att = att.select("fold", "attribution", F.explode(F.array(*[F.lit(x) for x in MODELS])).alias("model"))  # shared evenly
     return rounded(L.attention_bias(m, att), 5)

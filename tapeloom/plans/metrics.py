@@ -196,11 +196,11 @@ def a16(spark, sf):
     return rounded(q.withColumn("issues", F.array_join("issues", "; ")))
 
 
-@query("A17_average_regime_metrics", f"""WITH {PREDS}, src AS (SELECT *, 'Q' || quarter(date) AS regime, year(date) AS file FROM preds), g AS (SELECT regime, file, {metrics_sql()} FROM src GROUP BY regime, file)
-  SELECT regime, {', '.join(r6(f'avg({c})', c) for c in ('ic', 'directional_accuracy'))}, {r6('avg(mae)', 'rank_ic')}, CAST(sum(n_samples) AS BIGINT) AS n_samples FROM g GROUP BY regime""")
+@query("A17_average_regime_metrics", f"""WITH {PREDS}, src AS (SELECT *, 'Q' || quarter(date) AS regime, year(date) AS file FROM preds), g AS (SELECT regime, file, {metrics_sql()} FROM src GROUP BY regime, file), {rank_sql('src', 'regime, file')}
+  SELECT regime, {', '.join(r6(f'avg({c})', c) for c in ('ic', 'directional_accuracy', 'rank_ic'))}, CAST(sum(n_samples) AS BIGINT) AS n_samples FROM g JOIN ric USING (regime, file) GROUP BY regime""")
 def a17(spark, sf):
     df = predictions(spark, sf).withColumns({"regime": F.concat(F.lit("Q"), F.quarter("date").cast("string")), "file": F.year("date")})
-    m = M.regression_metrics(df, by=("regime", "file")).select("regime", "ic", "directional_accuracy", F.col("mae").alias("rank_ic"), "n_samples")
+    m = M.all_metrics(df, by=("regime", "file")).select("regime", "ic", "directional_accuracy", "rank_ic", "n_samples")
     return rounded(M.average_regime_metrics(m))
 
 

@@ -122,6 +122,14 @@ def r7(spark, sf):
     return R.name_clusters(t)
 
 
+# names of the centres that R6 finds; tested against the rule itself
+@query("R7_center_names")
+def r7_centers(spark, sf):
+    model, labels = R.fit_regime_clusters(regime_table(spark, sf))
+    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_dates"))
+    return R.name_clusters(R.cluster_centers(spark, model)).join(sizes, "cluster")
+
+
 @query("R8_lookup_regime", f"WITH {BARS}, {REG[len(BRAND) - len(BRAND):].replace('ticks AS', 'ticks2 AS').replace('FROM ticks JOIN', 'FROM ticks2 JOIN')} SELECT bars.ticker, bars.date, {r6('coalesce(regime_spy_ret5, 0.0)', 'regime_spy_ret5', 5)}, {r6('coalesce(regime_vix_level, -1.0)', 'regime_vix_level', 5)} FROM bars LEFT JOIN regime USING (date)")
 def r8(spark, sf):
     t = regime_table(spark, sf).select("date", "regime_spy_ret5", "regime_vix_level")

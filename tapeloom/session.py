@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import threading
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,30 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
     return configure(spark)
 
 
+_shipped: set[str] = set()
+_shipping = threading.Lock()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session's application, once.
+
+    Needed where it is neither installed nor on the workers' path, for instance when
+    a job is started from another folder.  Spark serves the archive to executors itself,
+    those that join later included.
+    """
+    app = spark.sparkContext.applicationId
+    with _shipping:
+        if app in _shipped:
+            return
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="tapeloom-")) / f"{package.name}-sources.zip"  # the driver serves it while it lives
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder for tables between steps, stream sinks and state.
 

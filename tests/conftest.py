@@ -5,7 +5,6 @@ import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
-sys.path.append("/opt/oracle")
 
 
 @pytest.fixture(scope="session")
