@@ -132,10 +132,11 @@ def select_articles(bars: DataFrame, articles: DataFrame, min_articles: int = 5,
     by impact stay.
 
     Pairing every bar with every visible article would explode, so articles are
-    reduced to the best ``top_k`` of each second, hour, day and month first.  All bars of
-    a day share the whole days they look back on, all bars of an hour share the
-    whole hours; only articles of the partial hours meet single bars.  A best-k
-    list of a union is contained in the union of best-k lists, so this is exact.
+    reduced to the best ``top_k`` of each second, minute, hour, day and month first.  All
+    bars of a day share the whole days they look back on, all bars of an hour the whole
+    hours, all bars of a minute the whole minutes; only seconds of the two partial minutes
+    meet single bars, so a bar meets at most 120 lists however many articles an hour has.
+    A best-k list of a union is contained in the union of best-k lists, so this is exact.
 
     The bar times, the article lists and the first selection feed several joins
     and are written once.
@@ -145,21 +146,23 @@ def select_articles(bars: DataFrame, articles: DataFrame, min_articles: int = 5,
     month = F.date_format(F.col(published).cast("timestamp"), "yyyyMM").cast("int")
     art = articles.select(
         key, F.col(ident).alias("art_id"), F.col("impact").cast("double").alias("impact"), sec.alias("sec"),
-        F.floor(sec / DAY).alias("day"), F.floor(sec / 3600).alias("hour"), month.alias("month"),
+        F.floor(sec / DAY).alias("day"), F.floor(sec / 3600).alias("hour"), F.floor(sec / 60).alias("minute"), month.alias("month"),
     )
     bsec = F.unix_seconds(F.col(ts).cast("timestamp"))
     bar = bars.select(key, ts).distinct().join(articles.select(key).distinct(), key, "left_semi").select(
-        key, ts, bsec.alias("bsec"), F.floor(bsec / DAY).alias("bday"), F.floor(bsec / 3600).alias("bhour"),
+        key, ts, bsec.alias("bsec"), F.floor(bsec / DAY).alias("bday"), F.floor(bsec / 3600).alias("bhour"), F.floor(bsec / 60).alias("bmin"),
         F.date_format(F.col(ts).cast("timestamp"), "yyyyMM").cast("int").alias("bmonth"),
     )
     bar = materialize(bar)
     ids = ["art_id", "impact", "sec"]
     # articles of one second are seen together, so even a burst leaves k rows per second
     by_sec = materialize(_top_per(art, [key, "sec"], k))
+    by_min = _top_per(by_sec, [key, "minute"], k)
     by_hour = _top_per(by_sec, [key, "hour"], k)
     by_day = _top_per(by_hour, [key, "day"], k)
     by_month = _top_per(by_day, [key, "month"], k)
 
+    bmins = bar.select(key, "bmin", "bhour").distinct()
     bhours = bar.select(key, "bhour", "bday", "bmonth").distinct()
     bdays = bar.select(key, "bday", "bmonth").distinct()
     bmonths = bar.select(key, "bmonth").distinct()
@@ -175,16 +178,25 @@ def select_articles(bars: DataFrame, articles: DataFrame, min_articles: int = 5,
         F.col("hour") > F.col("bhour") - days * 24
     ).select(key, "bhour", *ids)
     win_hour = _best([today, edge], [key, "bhour"], k)
-    # partial hours: single articles against single bars
-    now = bar.select(key, ts, "bsec", F.col("bhour").alias("hour")).join(by_sec.select(key, "hour", *ids), [key, "hour"]).where("sec < bsec")
-    old = bar.select(key, ts, "bsec", (F.col("bhour") - days * 24).alias("hour")).join(by_sec.select(key, "hour", *ids), [key, "hour"]).where(
+    # whole minutes: earlier this hour, and later in the hour the window starts in
+    minutes = by_min.select(key, "minute", "hour", *ids)
+    head = bmins.join(minutes.withColumnRenamed("hour", "bhour"), [key, "bhour"]).where("minute < bmin").select(key, "bmin", *ids)
+    tail = bmins.withColumn("hour", F.col("bhour") - days * 24).join(minutes, [key, "hour"]).where(
+        F.col("minute") > F.col("bmin") - days * 24 * 60
+    ).select(key, "bmin", *ids)
+    win_min = _best([head, tail], [key, "bmin"], k)
+    # partial minutes: single seconds against single bars
+    seconds = by_sec.select(key, "minute", *ids)
+    now = bar.select(key, ts, "bsec", F.col("bmin").alias("minute")).join(seconds, [key, "minute"]).where("sec < bsec")
+    old = bar.select(key, ts, "bsec", (F.col("bmin") - days * 24 * 60).alias("minute")).join(seconds, [key, "minute"]).where(
         F.col("sec") >= F.col("bsec") - days * DAY
     )
-    per_bar = bar.select(key, ts, "bday", "bhour")
+    per_bar = bar.select(key, ts, "bday", "bhour", "bmin")
     recent = now.select(key, ts, *ids)
     window = _best(
         [
             recent.unionByName(old.select(key, ts, *ids)),
+            per_bar.join(win_min, [key, "bmin"]).select(key, ts, *ids),
             per_bar.join(win_hour, [key, "bhour"]).select(key, ts, *ids),
             per_bar.join(win_day, [key, "bday"]).select(key, ts, *ids),
         ],
@@ -194,7 +206,7 @@ def select_articles(bars: DataFrame, articles: DataFrame, min_articles: int = 5,
     window = materialize(window.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key, ts))))
     enough = window.where(F.col("__n") >= min_articles).select(key, ts, *ids)
 
-    # bars with too few: everything earlier, month by month, then day, hour, article
+    # bars with too few: everything earlier, month by month, then day, hour, minute, article
     poor = bar.join(enough.select(key, ts).distinct(), [key, ts], "left_anti")
     all_month = _top_per(
         poor.select(key, "bmonth").distinct().join(by_month.select(key, "month", *ids), key).where("month < bmonth"), [key, "bmonth"], k
@@ -205,10 +217,11 @@ def select_articles(bars: DataFrame, articles: DataFrame, min_articles: int = 5,
         ).where("day < bday"),
         [key, "bday"], k,
     ).select(key, "bday", *ids)
-    slim = poor.select(key, ts, "bday", "bhour", "bmonth")
+    slim = poor.select(key, ts, "bday", "bhour", "bmin", "bmonth")
     widened = _best(
         [
             recent.join(poor.select(key, ts), [key, ts], "left_semi"),
+            slim.join(_top_per(head, [key, "bmin"], k), [key, "bmin"]).select(key, ts, *ids),
             slim.join(_top_per(today, [key, "bhour"], k), [key, "bhour"]).select(key, ts, *ids),
             slim.join(all_day, [key, "bday"]).select(key, ts, *ids),
             slim.join(all_month, [key, "bmonth"]).select(key, ts, *ids),

@@ -37,6 +37,21 @@ def test_selection_equals_brute_force(spark, least, k, days):
     assert {tuple(r) for r in got} == brute(bars, arts, least, k, days)
 
 
+@pytest.mark.parametrize("least,k", [(5, 4), (400, 6)])
+def test_selection_inside_minutes(spark, least, k):
+    """Articles and bars at single seconds of two hours, now and where the window starts; too few articles as well."""
+    rng = np.random.default_rng(4)
+    t0, days = 1_704_067_200 + 12 * 3600, 3
+    sec = np.concatenate([t0 + rng.integers(0, 7200, 300), t0 - days * 86400 + rng.integers(0, 7200, 300), t0 + np.arange(3540, 3665)])
+    arts = pd.DataFrame({"ticker": "HOT", "sec": sec, "impact": rng.integers(0, 30, len(sec)).astype(float), "art_id": range(len(sec))})
+    bars = pd.DataFrame({"ticker": "HOT", "sec": np.unique(np.concatenate([t0 + rng.integers(0, 7300, 60), t0 + np.arange(3595, 3606), t0 + np.arange(0, 7200, 600)]))})
+    sa = spark.createDataFrame(arts).select("ticker", "art_id", "impact", F.timestamp_seconds("sec").alias("published_at"))
+    sb = spark.createDataFrame(bars).select("ticker", F.timestamp_seconds("sec").alias("ts"))
+    got = N.select_articles(sb, sa, least, k, days).select("ticker", F.unix_seconds("ts").alias("s"), "art_id").collect()
+    assert len(got) == len({tuple(r) for r in got})
+    assert {tuple(r) for r in got} == brute(bars, arts, least, k, days)
+
+
 def test_lexicon_scores(spark):
     texts = [("Strong growth, a RECORD profit", 1.0), ("weak sales and a lawsuit", -1.0), ("gain and loss", 0.0), ("nothing", 0.0), (None, 0.0), ("x" * 5000 + " beat beat miss", 1 / 3)]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "i int, t string")
