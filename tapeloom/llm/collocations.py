@@ -36,6 +36,7 @@ TALLIES = 1 << 21  # extensions or accepted phrases that a task sums up at once
 ROWS = 1 << 16  # sums that travel at once
 PROBES = 300_000  # cells that are looked at for a node before it goes to the end
 BLOCK = 4096  # counts that travel in one row
+PARTS = 64  # parts of a language that are ranked apart before the last ranking
 
 #: A-Z lower-cased; what ends a piece becomes a full stop, which stands in no word.
 _NORMAL = bytes(0x2E if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -438,8 +439,13 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("phrase"), b.column("a"), got[1], got[2], b.column("n"), got[0]], names=["lang", "phrase", "a", "l", "r", "n", "score"])
 
     scored = ready.select("lang", "phrase", "a", "n", "cuts").mapInArrow(score, "lang string, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint")
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    first = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
+    # the first of each part hold the first of a language, so no task sees all phrases of one
+    dealt = scored.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    inside = F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*first))
+    few = dealt.withColumn("_place", inside).where(F.col("_place") <= top)
+    order = Window.partitionBy("lang").orderBy(*first)
+    return few.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 SQL = r"""
